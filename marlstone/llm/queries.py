@@ -1,7 +1,9 @@
 """Queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
+from .decontaminate import op8_decontaminate
 from .packing import op1_pack
+from .simhash import op9_simhash
 
-QUERIES = {"op1_pack": op1_pack}
+QUERIES = {"op1_pack": op1_pack, "op8_decontaminate": op8_decontaminate, "op9_simhash": op9_simhash}
 
 ORACLE_SQL: dict[str, str] = {}
