@@ -1,9 +1,11 @@
 """Queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
 from .decontaminate import op8_decontaminate
+from .language import op10_language
 from .packing import op1_pack
+from .quality import op4_quality
 from .simhash import op9_simhash
 
-QUERIES = {"op1_pack": op1_pack, "op8_decontaminate": op8_decontaminate, "op9_simhash": op9_simhash}
+QUERIES = {f.__name__: f for f in (op1_pack, op4_quality, op8_decontaminate, op9_simhash, op10_language)}
 
 ORACLE_SQL: dict[str, str] = {}
