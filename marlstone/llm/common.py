@@ -97,3 +97,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return current.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that were written out and are no longer referenced."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
