@@ -2,11 +2,12 @@
 
 from .decontaminate import op8_decontaminate
 from .language import op10_language
+from .lm import op2_lm
 from .packing import op1_pack
 from .quality import op4_quality
 from .simhash import op9_simhash
 from .substrings import op3_substrings
 
-QUERIES = {f.__name__: f for f in (op1_pack, op3_substrings, op4_quality, op8_decontaminate, op9_simhash, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_pack, op2_lm, op3_substrings, op4_quality, op8_decontaminate, op9_simhash, op10_language)}
 
 ORACLE_SQL: dict[str, str] = {}
