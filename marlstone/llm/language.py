@@ -81,7 +81,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                 own[g] += n
         for lang, own in total.items():
             g = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g)), pa.array(g.astype(np.int32)), pa.array(own[g])], ["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int32)), pa.array(own[g])], ["lang", "gram", "n"])
 
     counted = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(count, "lang string, gram int, n double")
     found = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
@@ -122,7 +122,7 @@ def infer(p: np.ndarray, n: np.ndarray, most: int = MOST_LANGUAGES) -> np.ndarra
 
 
 def identify(docs: DataFrame, names: list[str], p: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """(id, lang_pred, score, languages, shares) for each row; keep: all columns of docs and lang_pred alone instead."""
+    """(id, lang_pred, score, languages, shares) for each row; keep: the rows of docs, as they are, that have a language."""
     shared = docs.sparkSession.sparkContext.broadcast((names, p.astype(np.float64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,12 +145,12 @@ def identify(docs: DataFrame, names: list[str], p: np.ndarray, id_col: str = "do
                 langs.append([names[i] for i in top])
                 shares.append([float(share[i]) for i in top])
             if keep:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string())], [*batch.schema.names, "lang_pred"])
+                yield batch.filter(pa.array([x != UNDETERMINED for x in pred], pa.bool_()))
             else:
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(langs, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))], ["id", "lang_pred", "score", "languages", "shares"])
 
     if keep:
-        return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType())]))
+        return docs.mapInArrow(run, docs.schema)
     out = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("languages", T.ArrayType(T.StringType())), T.StructField("shares", T.ArrayType(T.DoubleType()))])
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, out).withColumnRenamed("id", id_col)
 
