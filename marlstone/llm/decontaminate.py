@@ -79,6 +79,25 @@ class Matcher:
     def _key(self, block: tuple[int, ...]) -> int:
         return block[0] * self.base + block[1] if len(block) == 2 else block[0]
 
+    def hits(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, dict[int, set], np.ndarray]:
+        """Words in each text, their running total, the items found in each text that has some, and whether each word is hit."""
+        number = self.numbers.__getitem__
+        ids = []
+        for text in texts:
+            w = words_of(text)
+            ids.append(np.fromiter(map(number, w), np.int64, len(w)))
+        n = np.array([len(x) for x in ids], np.int64)
+        last = np.cumsum(n)
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+        edge = np.zeros(len(flat) + 1, np.int32)
+        found: dict[int, set] = defaultdict(set)
+        for starts, which, length, owners in self.search(flat, last - n, last):
+            np.add.at(edge, starts, 1)
+            np.add.at(edge, starts + length, -1)
+            for d, p in set(zip(np.searchsorted(last, starts, "right").tolist(), which.tolist())):
+                found[d] |= owners[p]
+        return n, last, found, np.cumsum(edge[:-1]) > 0
+
     def search(self, ids: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, list]]:
         """ids: the words of a batch; first and last: the bounds of each document.  Gives (starts, pattern, length, owners)."""
         for length, block, keys, shifts, matrix, suffix, owners in self.tables:
@@ -116,25 +135,9 @@ def scan(docs: DataFrame, items: list[tuple[object, bytes]], window: int = WINDO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(items, window)
-        number = matcher.numbers.__getitem__
         for batch in sliced(batches, "text"):
-            ids, count = [], []
-            for text in as_bytes(batch, "text"):
-                w = words_of(text)
-                ids.append(np.fromiter(map(number, w), np.int64, len(w)))
-                count.append(len(w))
-            n = np.array(count, np.int64)
-            last = np.cumsum(n)
+            n, last, found, hit = matcher.hits(as_bytes(batch, "text"))
             first = last - n
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-            edge = np.zeros(len(flat) + 1, np.int32)
-            found: dict[int, set] = defaultdict(set)
-            for starts, hits, length, owners in matcher.search(flat, first, last):
-                np.add.at(edge, starts, 1)
-                np.add.at(edge, starts + length, -1)
-                for d, p in set(zip(np.searchsorted(last, starts, "right").tolist(), hits.tolist())):
-                    found[d] |= owners[p]
-            hit = np.cumsum(edge[:-1]) > 0
             spans = []
             for d in range(len(n)):
                 own = []
@@ -152,22 +155,46 @@ def scan(docs: DataFrame, items: list[tuple[object, bytes]], window: int = WINDO
     return docs.mapInArrow(run, out)
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: id, n_words, spans of hit words (first inclusive, last exclusive), items found."""
+def _items(benchmark: DataFrame, item_col: str, block_bytes: int) -> tuple[DataFrame, int]:
     items = benchmark.select(F.col(item_col).alias("item"), F.col("text").alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    plain = docs.select(F.lit(0).cast("long").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return items, max(1, -(-size // block_bytes))
+
+
+def _block(items: DataFrame, k: int, blocks: int) -> list[tuple[object, bytes]]:
+    return [(r["item"], r["text"].encode()) for r in items.where(F.expr(f"pmod(xxhash64(item), {blocks}L) = {k}")).collect()]
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, as they are, in which no window occurs."""
+    items, blocks = _items(benchmark, item_col, block_bytes)
 
-    def of(k: int) -> list[tuple[object, bytes]]:
-        return [(r["item"], r["text"].encode()) for r in items.where(F.expr(f"pmod(xxhash64(item), {blocks}L) = {k}")).collect()]
+    def without(own: list[tuple[object, bytes]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(own, window)
+            for batch in sliced(batches, text_col):
+                texts = as_bytes(batch, text_col)
+                _, last, found, _ = matcher.hits(texts)
+                yield batch.filter(pa.array([d not in found for d in range(len(texts))], pa.bool_()))
+
+        return run
+
+    for k in range(blocks):
+        docs = docs.mapInArrow(without(_block(items, k, blocks)), docs.schema)
+    return docs
+
+
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per document: id, n_words, spans of hit words (first inclusive, last exclusive), items found."""
+    items, blocks = _items(benchmark, item_col, block_bytes)
+    plain = docs.select(F.lit(0).cast("long").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     if blocks == 1:
-        return scan(plain, of(0), window).select(F.col("id").alias(id_col), "n_words", "spans", "items")
+        return scan(plain, _block(items, 0, 1), window).select(F.col("id").alias(id_col), "n_words", "spans", "items")
     numbered = scratch(plain.withColumn("row", F.monotonically_increasing_id()), "decontaminate-rows")
     found = None
     for k in range(blocks):
-        one = scratch(scan(numbered, of(k), window), "decontaminate-block")
+        one = scratch(scan(numbered, _block(items, k, blocks), window), "decontaminate-block")
         found = one if found is None else found.unionByName(one)
     merged = found.groupBy("row").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     joined = F.aggregate(

@@ -70,11 +70,11 @@ def ownership(spans: DataFrame) -> DataFrame:
     return per_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("r").alias("repositories"))
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str = "doc_id", common: int = COMMON) -> DataFrame:
-    """(id, spans): by start, then kind; each with kind, start, stop (code points, stop exclusive), hash, owners, repositories, verdict."""
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str = "doc_id", common: int = COMMON, row_col: str | None = None) -> DataFrame:
+    """(id, spans, and row if row_col is given): by start, then kind; each with kind, start, stop (code points, stop exclusive), hash, owners, repositories, verdict."""
     none = F.array().cast(SPAN)
-    read = docs.select(F.col(id_col).alias("id"), F.col(owner_col).cast("string").alias("owner"), F.col(repository_col).cast("string").alias("repository"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = scratch(read.withColumn("found", F.when(F.col("text").rlike(HINT), candidates("text")).otherwise(none)).withColumn("row", F.monotonically_increasing_id()).drop("text"), "secrets-found")
+    read = docs.select(F.col(id_col).alias("id"), F.col(owner_col).cast("string").alias("owner"), F.col(repository_col).cast("string").alias("repository"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"))
+    found = scratch(read.withColumn("found", F.when(F.col("text").rlike(HINT), candidates("text")).otherwise(none)).drop("text"), "secrets-found")
     each = scratch(found.where(F.size("found") > 0).select("row", "id", "owner", "repository", F.inline("found")), "secrets-spans")
     counts = scratch(ownership(each), "secrets-owners")
     names = F.array(*[F.lit(k[0]) for k in KINDS])
@@ -84,7 +84,29 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans = judged.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("spans"))
     out = found.where(F.size("found") > 0).select("row", "id").join(spans, "row", "left")
     empty = spans.schema["spans"].dataType.simpleString()
-    return out.select(F.col("id").alias(id_col), F.coalesce("spans", F.array().cast(empty)).alias("spans")).unionByName(found.where(F.size("found") == 0).select(F.col("id").alias(id_col), F.array().cast(empty).alias("spans")))
+    lead = [F.col("id").alias(id_col), *(["row"] if row_col else [])]
+    return out.select(*lead, F.coalesce("spans", F.array().cast(empty)).alias("spans")).unionByName(found.where(F.size("found") == 0).select(*lead, F.array().cast(empty).alias("spans")))
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str = "doc_id", common: int = COMMON, mark: str = "[SECRET]") -> DataFrame:
+    """docs with every span that is no widely copied example replaced by a mark; overlapping spans share one.
+
+    docs must be a stored table.  Only rows with a candidate are joined.
+    """
+    row = "marlstone_row"
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    hinted = F.coalesce(F.col(text_col).rlike(HINT), F.lit(False))
+    found = find_secrets(rows, id_col, text_col, owner_col, repository_col, common, row)
+    spans = scratch(found.select(F.col("row").alias(row), F.filter("spans", lambda s: s["verdict"] != "example").alias("marlstone_spans")).where("size(marlstone_spans) > 0"), "secrets-redact")
+    text = F.col(text_col)
+
+    def step(acc: Column, s: Column) -> Column:
+        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), out.alias("out"))
+
+    cut = F.aggregate("marlstone_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    joined_ = rows.where(hinted).join(spans, row, "left").withColumn(text_col, F.when(F.col("marlstone_spans").isNotNull(), cut).otherwise(text))
+    return rows.where(~hinted).select(*docs.columns).unionByName(joined_.select(*docs.columns))
 
 
 def joined(spans: Column) -> Column:

@@ -41,8 +41,8 @@ LEAF = 4096
 BLOCK = 32_768
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp): 64 majority bits over the hashes of all word shingles, repeats included."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, row_col: str | None = None) -> DataFrame:
+    """(id, fp, and row if row_col is given): 64 majority bits over the hashes of all word shingles, repeats included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest as h
@@ -65,10 +65,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 at = np.concatenate([[0], np.cumsum(n[some])[:-1]])
                 ones = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
                 fp[some] = np.packbits(2 * ones > n[some][:, None], axis=1).view(">u8").ravel()
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fp.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fp.view(np.int64)), *(batch.column("row") for _ in row)], ["id", "fp", *row])
 
-    out = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, out)
+    row = ["row"] if row_col else []
+    out = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType()), *(T.StructField("row", T.LongType()) for _ in row)])
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(row_col).alias("row") for _ in row)).mapInArrow(run, out)
 
 
 def build_tree(sample: np.ndarray, total: int, leaf: int = LEAF, radius: int = RADIUS, seed: int = 7) -> list:
@@ -198,13 +199,25 @@ def link(fps: DataFrame, radius: int = RADIUS, leaf: int = LEAF, block: int = BL
     return routed.groupBy("leaf", "part").applyInArrow(link_part, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
-    """(id, fp, component): every row of docs, its fingerprint, and the smallest id reachable through links."""
-    prints = scratch(fingerprints(docs, id_col, text_col), "simhash-prints")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, leaf: int = LEAF, row_col: str | None = None) -> DataFrame:
+    """(id, fp, component, and row if row_col is given): every row of docs, its fingerprint, and the smallest id reachable through links."""
+    prints = scratch(fingerprints(docs, id_col, text_col, row_col=row_col), "simhash-prints")
     reps = scratch(prints.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-reps")
     groups = components(link(reps.where("rep IS NOT NULL"), radius, leaf), "simhash-links")
     named = reps.join(groups, reps["rep"] == groups["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component")
+    return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component", *(["row"] if row_col else []))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, as they are, that stand for their group: one row of the smallest id; docs must be a stored table.
+
+    Rows without an id whose group has no id keep one row for each fingerprint.
+    """
+    row = "marlstone_row"
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    found = near_duplicates(rows, id_col, text_col, row_col=row)
+    first = found.where(F.col(id_col).eqNullSafe(F.col("component"))).groupBy("component", F.when(F.col("component").isNull(), F.col("fp"))).agg(F.min("row").alias(row))
+    return rows.join(scratch(first.select(row), "simhash-kept"), row, "left_semi").drop(row)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
