@@ -95,7 +95,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return {"share": float(min(sizes)) if sizes else 0.5}
     part = F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1_000_000))
     bound = F.when(F.col("y") == 1, int(1e6 * min(1, sample / sizes[1])) + 1).otherwise(int(1e6 * min(1, sample / sizes[0])) + 1)
-    chosen = own.where(part < bound).join(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id").where("octet_length(text) > 0")
+    # about 2 * sample ids by the counts above, whatever the input: the texts stay where they are
+    few = F.broadcast(own.where(part < bound))
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("octet_length(text) > 0").join(few, "id")
     rows = chosen.select("y", F.col("text").cast("binary").alias("text"), (F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(2)) == 0).alias("first"), "id").orderBy("id", "y", "text")
     first: dict[int, list[bytes]] = {0: [], 1: []}
     second: list[tuple[int, bytes]] = []

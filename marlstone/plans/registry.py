@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marlstone.sources.readers import table
+
 Builder = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Builder] = {}
@@ -24,3 +26,14 @@ def query(name: str, sql: str | None = None) -> Callable[[Builder], Builder]:
         return build
 
     return add
+
+
+def both(name: str, tables: str, spark_sql: str, oracle: str | None = None) -> None:
+    """Register SQL text over the named tables; oracle: the other engine's text where it must differ."""
+
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        for t in tables.split():
+            table(spark, sf_dir, t).createOrReplaceTempView(t)
+        return spark.sql(spark_sql)
+
+    query(name, oracle or spark_sql)(build)
