@@ -14,7 +14,7 @@ BROADCAST_BYTES = 64 << 20
 
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of a frame."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:

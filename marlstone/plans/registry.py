@@ -37,3 +37,8 @@ def both(name: str, tables: str, spark_sql: str, oracle: str | None = None) -> N
         return spark.sql(spark_sql)
 
     query(name, oracle or spark_sql)(build)
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from marlstone.plans import aggregations, relational, tpch  # noqa: F401
