@@ -13,7 +13,8 @@ links to a local representative, never all pairs; star contraction joins them.
 A list with more than `block` homes is worked on in parts, each against the
 whole list.  All vectors are indexed; only centroids and codes come from the
 sample.  Recall depends on the margin alone (tests and README have it against
-brute force).
+brute force): a pair is lost only if both its vectors are more than the margin
+further from the other's centroid than from their own.
 
 Vectors that are null, empty, zero or hold null or non-finite components link
 with nothing and are their own component.  Shorter vectors count as padded with
@@ -38,7 +39,7 @@ COSINE = 0.9
 SAMPLE = 16_384
 PER_LIST = 256
 MOST_LISTS = 4096
-MARGIN = 0.3
+MARGIN = 0.1
 SUBSPACES = 8
 CODES = 256
 BLOCK = 8192
