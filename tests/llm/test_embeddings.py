@@ -1,6 +1,6 @@
 import numpy as np
 
-from marlstone.llm.embeddings import near_duplicates, op6_embeddings
+from marlstone.llm.embeddings import near_duplicates, op6_embeddings, probed
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -48,3 +48,31 @@ def test_odd_vectors(spark, tmp_path):
     assert all(got[i].n_links == 4 and got[i].component_id == 6 for i in (6, 7, 8, 11))
     spark.createDataFrame([], SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/none/embeddings.parquet")
     assert op6_embeddings(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_every_pair_meets_in_few_dimensions(spark, tmp_path):
+    """Pairs just over the cosine, without clusters, over many lists: none may be lost."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((600, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal(x.shape)
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    y = 0.905 * x + np.sqrt(1 - 0.905**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    rows = [(i, [float(np.float32(c)) for c in v]) for i, v in enumerate(np.concatenate([x, y]))]
+    spark.createDataFrame([(*r, 0) for r in rows], SCHEMA).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = near_duplicates(spark.read.parquet(f"{tmp_path}/embeddings.parquet"), per_list=4)
+    assert sorted((r.vec_id, r.n_links, r.component, r.vec_id == r.component) for r in got.collect()) == brute(rows)
+
+
+def test_probes_reach_one_of_each_pair_at_4096_lists():
+    rng = np.random.default_rng(6)
+    for width in (4, 16, 64):
+        coarse = rng.standard_normal((4096, width))
+        coarse /= np.linalg.norm(coarse, axis=1, keepdims=True)
+        x = rng.standard_normal((1000, width))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        side = rng.standard_normal(x.shape)
+        side -= (side * x).sum(axis=1, keepdims=True) * x
+        y = 0.9 * x + np.sqrt(0.19) * side / np.linalg.norm(side, axis=1, keepdims=True)
+        (a, ours), (b, theirs) = (probed(z @ coarse.T, coarse, 0.9) for z in (x, y))
+        assert (ours[np.arange(1000), b] | theirs[np.arange(1000), a]).all()
