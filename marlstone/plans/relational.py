@@ -113,6 +113,25 @@ query(
     "SELECT event_id, p_partkey FROM events JOIN (SELECT p_partkey, CAST(p_size AS DOUBLE) AS low, p_size + 0.05 AS high FROM part WHERE p_partkey < 200) r ON value >= low AND value < high",
 )(lambda s, d: joins.in_range(table(s, d, "events"), table(s, d, "part").where("p_partkey < 200").select("p_partkey", F.col("p_size").cast("double").alias("low"), F.expr("p_size + 0.05D").alias("high")), "value", "low", "high", 1.0).select("event_id", "p_partkey"))
 
+# The same operators over whole tables.
+for _how in ("inner", "left", "right", "full"):
+
+    def _build_whole(spark, sf_dir, how=_how):
+        return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), how).select("c_custkey", "o_orderkey")
+
+    query(f"join_{_how}_whole", f"SELECT c_custkey, o_orderkey FROM customer {_how.upper()} JOIN orders ON c_custkey = o_custkey")(_build_whole)
+
+_NS = """SELECT count(*) AS n FROM (SELECT CASE WHEN event_id < 5 THEN NULL ELSE user_id END AS u FROM events) a
+    JOIN (SELECT CASE WHEN event_id < 3 THEN NULL ELSE user_id END AS u FROM events) b ON a.u {same} b.u"""
+both("join_null_safe_whole", "events", _NS.format(same="<=>"), _NS.format(same="IS NOT DISTINCT FROM"))
+query(
+    "join_range_whole",
+    "SELECT p_partkey, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events JOIN (SELECT p_partkey, CAST(p_size AS DOUBLE) AS low, p_size + 0.05 AS high FROM part) r ON value >= low AND value < high GROUP BY p_partkey",
+)(
+    lambda s, d: joins.in_range(table(s, d, "events"), table(s, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("low"), F.expr("p_size + 0.05D").alias("high")), "value", "low", "high", 1.0)
+    .groupBy("p_partkey").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+)
+
 # ---- set operations -----------------------------------------------------------------------------
 
 _A, _B = "SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'", "SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'O'"
