@@ -3,9 +3,10 @@
 Each language has a smoothed distribution over hashed byte n-grams of the
 letters.  A document is a mixture of languages: expectation-maximisation over
 its n-gram counts estimates the proportions, for the full set of languages and
-then for growing subsets, and the set kept is the one with the greatest
-likelihood less a penalty (half the logarithm of the n-grams for each language
-in the set).  The predicted language has the largest proportion in that set;
+then for its first one, two, ... and all languages by proportion.  Of these sets
+the one with the greatest likelihood less a penalty (half the logarithm of the
+n-grams for each language in the set) is kept; larger sets are left out only
+where a bound on the likelihood of any mixture shows that none can win.  The predicted language has the largest proportion in that set;
 the score is its proportion.
 
 The distributions come from a sample of at most about `sample` labelled rows,
@@ -33,7 +34,6 @@ BUCKETS = 1 << 15
 SAMPLE = 20_000
 SMOOTH = 0.5
 ROUNDS = 12
-MOST_LANGUAGES = 3
 UNDETERMINED = "und"
 
 #: Lower-cases A-Z; what is no letter in ASCII becomes a space.
@@ -103,21 +103,33 @@ def mixture(p: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndar
     return share, float(n @ np.log(p @ share))
 
 
-def infer(p: np.ndarray, n: np.ndarray, most: int = MOST_LANGUAGES) -> np.ndarray:
+def most_likely(p: np.ndarray, n: np.ndarray, share: np.ndarray) -> float:
+    """A bound on the log-likelihood of every mixture of the columns of p, from the proportions of one.
+
+    By concavity no mixture gains more than the n-grams' number times the
+    logarithm of the greatest mean ratio of a column to the one given.
+    """
+    whole = p @ share
+    return float(n @ np.log(whole) + n.sum() * np.log(((n / whole) @ p).max() / n.sum()))
+
+
+def infer(p: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Proportions of all languages, zero outside the chosen set."""
     k = p.shape[1]
     share, _ = mixture(p, n) if k > 1 else (np.ones(1), 0.0)
     order = np.argsort(-share, kind="stable")
     penalty = 0.5 * np.log(n.sum() + 1)
+    bound = most_likely(p, n, share)
     out, best = np.zeros(k), -np.inf
-    for size in range(1, min(most, k) + 1):
+    for size in range(1, k + 1):
+        if bound - penalty * size <= best:
+            break
         own = order[:size]
         part, fit_ = mixture(p[:, own], n) if size > 1 else (np.ones(1), float(n @ np.log(p[:, own[0]])))
-        if fit_ - penalty * size <= best:
-            break
-        best = fit_ - penalty * size
-        out[:] = 0
-        out[own] = part
+        if fit_ - penalty * size > best:
+            best = fit_ - penalty * size
+            out[:] = 0
+            out[own] = part
     return out
 
 

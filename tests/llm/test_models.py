@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from marlstone.llm.language import infer, op10_language
+from marlstone.llm.language import infer, mixture, op10_language
 from marlstone.llm.quality import op4_quality
 
 SF = "/root/testdata/sf0.01"
@@ -26,6 +26,26 @@ def test_mixtures_name_both_languages():
     assert (infer(p, np.array([300.0, 5.0, 5.0])) > 0).tolist() == [True, False, False]
 
 
+def test_mixtures_name_every_language():
+    for k in (4, 6):
+        p = np.full((k, k), 0.02) + np.eye(k) * (1 - 0.02 * k)
+        share = infer(p, np.full(k, 300.0))
+        assert (share > 0).all() and np.allclose(share, 1 / k)
+
+
+def test_mixtures_are_the_best_of_all_sizes():
+    rng = np.random.default_rng(2)
+    for k in (2, 3, 4, 5):
+        for _ in range(60):
+            p = rng.dirichlet(np.full(40, 0.4), k).T + 1e-4
+            p /= p.sum(axis=0)
+            n = rng.multinomial(int(rng.integers(5, 800)), p @ rng.dirichlet(np.full(k, 0.5))).astype(float)
+            order, penalty = np.argsort(-mixture(p, n)[0], kind="stable"), 0.5 * np.log(n.sum() + 1)
+            value = lambda size: (mixture(p[:, order[:size]], n)[1] if size > 1 else n @ np.log(p[:, order[0]])) - penalty * size  # noqa: B023, E731
+            want = max(range(1, k + 1), key=value)
+            assert set(np.flatnonzero(infer(p, n))) == set(order[:want])
+
+
 def test_quality_held_out_accuracy(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = [r for r in op4_quality(spark, SF).join(labels, "doc_id").collect() if r.held_out]
