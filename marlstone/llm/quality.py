@@ -8,8 +8,8 @@ into a probability by logistic regression on labelled rows that no dictionary
 has seen.
 
 Labelled rows are sampled by a hash of the id: at most about `sample` of each
-class, half for the dictionaries, half for the calibration.  Documents are
-compressed whole.
+class, half for the dictionaries, half for the calibration.  Sampled texts train
+whole, in pieces; documents are compressed whole.
 
 Null and empty texts get the share of label 1 in the calibration rows.  Null
 labels, and labels of unknown ids, are ignored; several labels of one id all
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from .common import as_bytes, remainder, sliced, table
 
 SAMPLE = 2_000
-#: Bytes of a training document that go into a dictionary; the dictionaries' own size.
+#: Bytes of the pieces into which training texts are cut, over their whole length; the dictionaries' own size.
 PIECE = 2_000
 DICTIONARY = 64 << 10
 LEVEL = 3
@@ -50,10 +50,20 @@ def compressors(good: bytes, bad: bytes, level: int = LEVEL) -> list:
     return [*out, z.ZstdCompressor(level=level, write_content_size=False)]
 
 
+def cut(text: bytes) -> list[bytes]:
+    """The chunks of a text; the last has what is left, half a chunk more at most."""
+    starts = range(0, max(1, len(text) - CHUNK // 2), CHUNK)
+    return [text[k : k + CHUNK] for k in starts[:-1]] + [text[starts[-1] :]]
+
+
+def pieces(texts: list[bytes], piece: int = PIECE) -> list[bytes]:
+    return [t[k : k + piece] for t in texts for k in range(0, len(t), piece)]
+
+
 def features(text: bytes, tools: list) -> list[float]:
     """1, the normalised difference of the whole text, and over its chunks: the difference's mean and least value and the least plain ratio."""
     good, bad, plain = (len(t.compress(text)) for t in tools)
-    chunks = [text[k : k + CHUNK] for k in range(0, max(1, len(text) - CHUNK // 2), CHUNK)]
+    chunks = cut(text)
     sizes = np.array([[len(t.compress(c)) for t in tools] for c in chunks], float)
     part = (sizes[:, 1] - sizes[:, 0]) / sizes[:, 2]
     tight = sizes[:, 2] / np.array([len(c) + 20 for c in chunks])
@@ -64,8 +74,7 @@ def train_dictionary(texts: list[bytes], size: int = DICTIONARY, piece: int = PI
     """A trained dictionary; too little text serves as raw content."""
     import zstandard as z
 
-    parts = [t[k : k + piece] for t in texts for k in range(0, min(len(t), 4 * piece), piece)]
-    parts = [p for p in parts if len(p) >= 8]
+    parts = [p for p in pieces(texts, piece) if len(p) >= 8]
     if sum(map(len, parts)) >= 10 * size and len(parts) >= 16:
         try:
             return z.train_dictionary(size, parts, level=LEVEL).as_bytes()
@@ -102,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     first: dict[int, list[bytes]] = {0: [], 1: []}
     second: list[tuple[int, bytes]] = []
     for r in rows.toLocalIterator():
-        first[r["y"]].append(bytes(r["text"][: 4 * PIECE])) if r["first"] else second.append((r["y"], bytes(r["text"])))
+        first[r["y"]].append(bytes(r["text"])) if r["first"] else second.append((r["y"], bytes(r["text"])))
     good, bad = train_dictionary(first[1]), train_dictionary(first[0])
     tools = compressors(good, bad)
     if len({y for y, _ in second}) < 2:

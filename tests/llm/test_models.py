@@ -3,7 +3,7 @@
 import numpy as np
 
 from marlstone.llm.language import infer, mixture, op10_language
-from marlstone.llm.quality import op4_quality
+from marlstone.llm.quality import CHUNK, cut, fit, op4_quality, pieces
 
 SF = "/root/testdata/sf0.01"
 
@@ -56,3 +56,22 @@ def test_quality_odd_and_empty(spark, odd_dir, empty_dir):
     got = op4_quality(spark, odd_dir).collect()
     assert len(got) == 12 and all(0 <= r.score <= 1 for r in got)
     assert op4_quality(spark, empty_dir).collect() == []
+
+
+def test_quality_cuts_keep_every_byte():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 199, 200, 201, 400, 599, 600, 601, 50_000):
+        text = rng.bytes(n)
+        assert b"".join(cut(text)) == text and all(len(c) <= CHUNK + CHUNK // 2 for c in cut(text))
+        assert b"".join(pieces([text])) == text
+
+
+def test_quality_trains_on_the_ends_of_long_texts(spark):
+    """Good and bad texts that differ only after 40,000 bytes: the dictionaries must hold words of the ends."""
+    rng = np.random.default_rng(8)
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(300)]
+    ends = {y: ["".join(rng.choice(list("klmnopqr" if y else "stuvwxyz"), 9)) for _ in range(40)] for y in (0, 1)}
+    docs = [(i, " ".join(rng.choice(vocabulary, 5000)) + " " + " ".join(rng.choice(ends[i % 2], 1500))) for i in range(60)]
+    model = fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, quality int"))
+    own = {y: sum(w.encode() in model[name] for w in ends[y]) for y, name in ((1, "good"), (0, "bad"))}
+    assert own[0] >= 20 and own[1] >= 20
