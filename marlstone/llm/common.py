@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,36 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored(df: DataFrame) -> bool:
+    """Whether the rows of df are those of one Parquet scan, chosen and changed one by one."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias") and plan.children().size() == 1:
+        plan = plan.children().head()
+    if not plan.nodeName().startswith("LogicalRelation") and plan.getClass().getSimpleName() != "LogicalRelation":
+        return False
+    try:
+        df.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return False
+    return True
+
+
+def with_row(df: DataFrame, name: str = "row") -> DataFrame:
+    """df with a number for each row that every job computes alike, however it splits the scan.
+
+    In a Parquet scan it is made of the file's number and the row's place in the
+    file; any other rows are numbered once and written to the shared folder.
+    """
+    if not stored(df):
+        return scratch(df.withColumn(name, F.monotonically_increasing_id()), "rows")
+    path = F.col("_metadata.file_path")
+    files = sorted(r[0] for r in df.select(path).distinct().collect())
+    at = df.sparkSession.createDataFrame(list(zip(files, range(len(files)))), "marlstone_file string, marlstone_at long")
+    placed = df.select("*", path.alias("marlstone_file"), F.col("_metadata.row_index").alias("marlstone_index"))
+    number = F.shiftleft("marlstone_at", 40) + F.col("marlstone_index")
+    return placed.join(F.broadcast(at), "marlstone_file").select(*df.columns, number.alias(name))
+
+
 def forget(df: DataFrame) -> None:
     """Remove the files of a scratch table that nothing reads any more."""
     spark = df.sparkSession

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import scratch, table, with_row
 
 #: Owners from which on a value is a widely copied example.
 COMMON = 3
@@ -91,10 +91,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str = "doc_id", common: int = COMMON, mark: str = "[SECRET]") -> DataFrame:
     """docs with every span that is no widely copied example replaced by a mark; overlapping spans share one.
 
-    docs must be a stored table.  Only rows with a candidate are joined.
+    Only rows with a candidate are joined.
     """
     row = "marlstone_row"
-    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    rows = with_row(docs, row)
     hinted = F.coalesce(F.col(text_col).rlike(HINT), F.lit(False))
     found = find_secrets(rows, id_col, text_col, owner_col, repository_col, common, row)
     spans = scratch(found.select(F.col("row").alias(row), F.filter("spans", lambda s: s["verdict"] != "example").alias("marlstone_spans")).where("size(marlstone_spans) > 0"), "secrets-redact")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, components, scratch, sliced, table
+from .common import as_bytes, components, scratch, sliced, table, with_row
 
 SHINGLE = 3
 RADIUS = 2
@@ -209,14 +209,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, as they are, that stand for their group: one row of the smallest id; docs must be a stored table.
+    """The rows of docs, as they are, that stand for their group: one row of the smallest id.
 
     Rows without an id whose group has no id keep one row for each fingerprint.
     The last join is a hash join of shuffled sides at every size: its texts
     need no sort, and the row numbers spread evenly.
     """
     row = "marlstone_row"
-    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    rows = with_row(docs, row)
     found = near_duplicates(rows, id_col, text_col, row_col=row)
     first = found.where(F.col(id_col).eqNullSafe(F.col("component"))).groupBy("component", F.when(F.col("component").isNull(), F.col("fp"))).agg(F.min("row").alias(row))
     return rows.join(scratch(first.select(row), "simhash-kept").hint("shuffle_hash"), row, "left_semi").drop(row)

@@ -26,7 +26,7 @@ Hashes have 64 bits for a symbol and 64 more for the words around it.
 Null texts have no words.  Texts of fewer than `window` words keep all.
 Repeated rows are copies of each other, so all of their windows go.  An empty
 table gives no rows; columns besides the id and the text are ignored.  Rows are
-told apart by their place in the scan, so the input must be a stored table.
+told apart by numbers that don't depend on how a scan is split (`with_row`).
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, forget, release, scratch, sliced, table
+from .common import as_bytes, forget, release, scratch, sliced, table, with_row
 
 WINDOW = 35
 ROUNDS = 14
@@ -236,7 +236,7 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(id, n_words, n_removed, kept): kept has the words that stay, joined by single spaces."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = with_row(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     spans = scratch(repeated_windows(rows, window).groupBy("row").agg(F.collect_list(F.struct("lo", "n")).alias("spans")), "substrings-spans")
     release(docs.sparkSession)
 
