@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast, cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder named by spark.checkpoint.dir; one of our own only where that is unset and Spark runs in one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (path or os.path.join(tempfile.gettempdir(), "marlstone-shared")).rstrip("/")
 
 
@@ -75,6 +80,22 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def share(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcast an object of this subpackage's classes to executors that needn't have it; read it with `taken`."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def taken(of: Broadcast) -> object:
+    """What `share` sent, made once in each worker; only the latest few are kept."""
+    kept = sys.__dict__.setdefault("_marlstone_shared", {})
+    key = hash(of.value)
+    if key not in kept:
+        while len(kept) > 1:
+            kept.pop(next(iter(kept)))
+        kept[key] = cloudpickle.loads(of.value)
+    return kept[key]
+
+
 def remainder(doc_id: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus
@@ -103,12 +124,13 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for every node of edges (a, b): the smallest node reachable.
 
     Alternates large-star and small-star rounds, each written to the shared
-    folder; a node's neighbours are only ever reduced with min, so no group is
-    gathered.  Nodes without an edge don't appear.  Null ends are ignored.
+    folder, until a round leaves every edge as it is; a node's neighbours are
+    only ever reduced with min, so no group is gathered.  Nodes may have any type
+    that can be ordered.  Nodes without an edge don't appear.  Null ends are ignored.
     """
     current = scratch(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    signature = None
-    while True:
+    size = current.count()
+    while size:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -119,12 +141,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             .distinct()
         )
         following = scratch(small, name)
-        now = following.agg(F.count("*"), F.sum(F.col("b").cast("decimal(38,0)")), F.count_distinct("a")).first()
+        before, size = size, following.count()
+        same = size == before and following.join(current, ["a", "b"], "left_anti").isEmpty()
         forget(current)
         current = following
-        if (done := tuple(now)) == signature:
+        if same:
             break
-        signature = done
     return current.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

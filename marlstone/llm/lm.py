@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, release, remainder, scratch, sliced, table
+from .common import as_bytes, release, remainder, scratch, share, sliced, table, taken
 
 HEAD = 6_000
 BUCKETS = 256
@@ -178,10 +178,10 @@ class Model:
 def train(docs: DataFrame, vocab: Vocabulary, dimensions: int = DIMENSIONS) -> Model:
     """Train in every task over its texts and average."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(vocab)
+    shared = share(spark, vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
+        v = taken(shared)
         model = Model(v.share, dimensions)
         rng = np.random.default_rng(17)
         contexts, targets, held, seen = [], [], 0, 0
@@ -226,11 +226,11 @@ def train(docs: DataFrame, vocab: Vocabulary, dimensions: int = DIMENSIONS) -> M
 def score(docs: DataFrame, vocab: Vocabulary, model: Model, counted: DataFrame) -> DataFrame:
     """(id, n_tokens, n_known, base_score, score) of each row of docs (id, text)."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((vocab, model))
+    shared = share(spark, (vocab, model))
     kind = docs.schema["id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, m = shared.value
+        v, m = taken(shared)
         log_count = np.log10(v.counts + ADD)
         inside = np.where(np.arange(len(v.counts)) < v.head, 0.0, log_count - v.bucket_log[np.maximum(v.of - v.head - 1, 0)])
         inside[v.end] = 0.0
