@@ -66,3 +66,21 @@ def test_special_strings_and_empty_table(spark, empty_dir):
     docs = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")
     assert np.frombuffer(pack_documents(docs).first().ids, "<u4").tolist() == expected("a <|endoftext|> b")
     assert op1_pack(spark, empty_dir).collect() == []
+
+
+def test_long_runs_of_blanks(spark, tmp_path):
+    texts = ["a" + " " * 1_100_000 + "b", "\n" * 1_500_000, " \t" * 30_000 + "<|endoftext|>" + "　" * 30_000 + "x " + "\x85" * 25_000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    ids = {}
+    for r in pack_documents(spark.read.parquet(f"{tmp_path}/documents.parquet")).orderBy("doc_id", "start").collect():
+        ids.setdefault(r.doc_id, []).extend(np.frombuffer(r.ids, "<u4").tolist())
+    assert ids == {k: expected(t) for k, t in enumerate(texts)}
+
+
+def test_equal_rows_without_ids_spread_over_groups(spark):
+    docs = spark.createDataFrame([(None, "same text")] * 3000, "doc_id long, text string")
+    rows = pack_documents(docs, group_docs=100).collect()
+    of = {}
+    for r in rows:
+        of[r.sequence_id >> 32] = of.get(r.sequence_id >> 32, 0) + 1
+    assert len(rows) == 3000 and len(of) == 30 and max(of.values()) < 200
