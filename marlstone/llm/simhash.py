@@ -12,12 +12,15 @@ of each local cluster instead of all pairs.  Distributed star contraction joins
 the links of all leaves.
 
 The tree is built from a sample of bounded size; that only sets how even the
-leaves are, never which pairs are found.  A leaf with more homes than
-`block` is worked on in blocks of homes, each against the whole leaf.
+leaves are, never which pairs are found.  The sample, and so the leaves, grow with
+the fingerprints up to MOST_SAMPLE.  A leaf with more than `block` homes or
+visitors is worked on in blocks of both, each block of homes against each block
+of the leaf's rows, so no task holds more than two blocks.
 
 Null and empty texts have fingerprint zero and are linked like any other.
-Repeated rows keep their own rows in the result.  Null ids get a component if
-an id is reachable, else null.  An empty table gives no rows.  Columns besides
+Repeated rows keep their own rows in the result.  Links are between fingerprints,
+so rows with null ids link too; they get a component if an id is reachable, else
+null.  Ids may have any type that can be ordered.  An empty table gives no rows.  Columns besides
 the id and the text are ignored.
 """
 
@@ -37,6 +40,8 @@ SHINGLE = 3
 RADIUS = 2
 SEED = 42
 SAMPLE = 16_384
+#: 8 MB of fingerprints at most reach the driver.
+MOST_SAMPLE = 1 << 20
 LEAF = 4096
 BLOCK = 32_768
 
@@ -164,61 +169,65 @@ def link_leaf(fps: np.ndarray, home: np.ndarray, radius: int = RADIUS) -> np.nda
 
 
 def link(fps: DataFrame, radius: int = RADIUS, leaf: int = LEAF, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
-    """(a, b): links that connect all fingerprints within the radius; fps has distinct fp and the id rep that stands for each."""
+    """(a, b): links of fingerprints that connect all that are within the radius; fps has distinct fp."""
     total = fps.count()
-    share = min(1.0, sample / max(total, 1))
-    some = fps.where(F.expr(f"pmod(xxhash64(fp), 1000000L) < {int(share * 1e6) + 1}")).select("fp").toArrow().column("fp").to_numpy().view(np.uint64)
+    share = min(1.0, min(MOST_SAMPLE, max(sample, total * 16 // leaf)) / max(total, 1))
+    some = fps.where(F.expr(f"pmod(xxhash64(fp), 1000000000L) <= {int(share * 1e9)}")).select("fp").toArrow().column("fp").to_numpy().view(np.uint64)
     nodes = build_tree(np.sort(some), total, leaf, radius) if len(some) else [[0]]
-    kind = fps.schema["rep"].dataType
+    tree = fps.sparkSession.sparkContext.broadcast(nodes)
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             f = batch.column("fp").to_numpy().view(np.uint64)
-            row, to, home = route(nodes, f, radius)
-            yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(row)), pa.array(f[row].view(np.int64)), pa.array(to, pa.int64()), pa.array(home)], ["rep", "fp", "leaf", "home"])
-
-    routed = fps.select("rep", "fp").mapInArrow(visits, T.StructType([T.StructField("rep", kind), T.StructField("fp", T.LongType()), T.StructField("leaf", T.LongType()), T.StructField("home", T.BooleanType())]))
-    routed = scratch(routed, "simhash-visits")
-    big = {r["leaf"]: -(-r["n"] // block) for r in routed.where("home").groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > block).collect()}
-    if big:
-        many = F.coalesce(F.create_map(*[F.lit(x) for pair in big.items() for x in pair])[F.col("leaf")], F.lit(1))
-        routed = routed.withColumn("many", many).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("many") - 1))).withColumn("home", F.expr("home AND pmod(xxhash64(fp), many) = part")).drop("many")
-    else:
-        routed = routed.withColumn("part", F.lit(0))
+            row, to, home = route(tree.value, f, radius)
+            yield pa.RecordBatch.from_arrays([pa.array(f[row].view(np.int64)), pa.array(to, pa.int64()), pa.array(home)], ["fp", "leaf", "home"])
+
+    routed = scratch(fps.select("fp").mapInArrow(visits, "fp long, leaf long, home boolean"), "simhash-visits")
+    sizes = routed.groupBy("leaf").agg(F.count_if("home").alias("homes"), F.count("*").alias("rows")).where(F.col("rows") > block)
+    # one row a leaf, of which there are MOST_SAMPLE at most
+    large = sizes.select("leaf", F.ceil(F.col("homes") / block).cast("int").alias("h"), F.ceil(F.col("rows") / block).cast("int").alias("r"))
+    routed = routed.join(F.broadcast(large), "leaf", "left").withColumns({"h": F.greatest(F.coalesce("h", F.lit(1)), F.lit(1)), "r": F.coalesce("r", F.lit(1))})
+    # each row goes with all blocks of homes, and each home with all blocks of rows; it is both where the two meet
+    own_h, own_r = F.expr("int(pmod(xxhash64(fp), h))"), F.expr("int(pmod(xxhash64(fp, 1), r))")
+    routed = routed.withColumns({"own_h": own_h, "own_r": own_r})
+    as_row = F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda i: F.struct(i.alias("i"), F.col("own_r").alias("j"), (F.col("home") & (i == F.col("own_h"))).alias("as_home"), F.lit(True).alias("as_row")))
+    as_home = F.transform(F.filter(F.sequence(F.lit(0), F.col("r") - 1), lambda j: F.col("home") & (j != F.col("own_r"))), lambda j: F.struct(F.col("own_h").alias("i"), j.alias("j"), F.lit(True).alias("as_home"), F.lit(False).alias("as_row")))
+    dealt = routed.select("fp", "leaf", F.inline(F.concat(as_row, as_home)))
 
     def link_part(part: pa.Table) -> pa.Table:
-        f, home = part.column("fp").to_numpy().view(np.uint64), part.column("home").to_numpy(zero_copy_only=False)
-        label = link_leaf(f, home, radius)
-        rep = part.column("rep").combine_chunks()
+        f = part.column("fp").to_numpy().view(np.uint64)
+        label = link_leaf(f, part.column("as_home").to_numpy(zero_copy_only=False), radius)
         sorted_by = np.argsort(label, kind="stable")
         starts = np.flatnonzero(np.r_[True, np.diff(label[sorted_by]) > 0]) if len(label) else np.zeros(0, np.int64)
         root = np.repeat(sorted_by[starts], np.diff(np.r_[starts, len(label)]))
         to = sorted_by != root
-        return pa.table({"a": rep.take(pa.array(sorted_by[to])), "b": rep.take(pa.array(root[to]))})
+        return pa.table({"a": f[sorted_by[to]].view(np.int64), "b": f[root[to]].view(np.int64)})
 
-    return routed.groupBy("leaf", "part").applyInArrow(link_part, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+    return dealt.groupBy("leaf", "i", "j").applyInArrow(link_part, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, leaf: int = LEAF, row_col: str | None = None) -> DataFrame:
     """(id, fp, component, and row if row_col is given): every row of docs, its fingerprint, and the smallest id reachable through links."""
     prints = scratch(fingerprints(docs, id_col, text_col, row_col=row_col), "simhash-prints")
     reps = scratch(prints.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-reps")
-    groups = components(link(reps.where("rep IS NOT NULL"), radius, leaf), "simhash-links")
-    named = reps.join(groups, reps["rep"] == groups["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component", *(["row"] if row_col else []))
+    groups = components(link(reps, radius, leaf), "simhash-links").withColumnsRenamed({"node": "fp", "component": "root"})
+    member = scratch(reps.join(groups, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "simhash-members")
+    least = member.groupBy("root").agg(F.min("rep").alias("component"))
+    named = member.join(least, "root").select("fp", "component", "root")
+    return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component", *(["row", "root"] if row_col else []))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, as they are, that stand for their group: one row of the smallest id.
 
-    Rows without an id whose group has no id keep one row for each fingerprint.
+    Of a group without any id, one row stays too.
     The last join is a hash join of shuffled sides at every size: its texts
     need no sort, and the row numbers spread evenly.
     """
     row = "marlstone_row"
     rows = with_row(docs, row)
     found = near_duplicates(rows, id_col, text_col, row_col=row)
-    first = found.where(F.col(id_col).eqNullSafe(F.col("component"))).groupBy("component", F.when(F.col("component").isNull(), F.col("fp"))).agg(F.min("row").alias(row))
+    first = found.where(F.col(id_col).eqNullSafe(F.col("component"))).groupBy("root").agg(F.min("row").alias(row))
     return rows.join(scratch(first.select(row), "simhash-kept").hint("shuffle_hash"), row, "left_semi").drop(row)
 
 

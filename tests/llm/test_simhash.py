@@ -2,7 +2,7 @@ import numpy as np
 import xxhash
 
 from marlstone.llm.common import components
-from marlstone.llm.simhash import build_tree, link_leaf, near_duplicates, op9_simhash, route
+from marlstone.llm.simhash import build_tree, fingerprints, link, link_leaf, near_duplicates, op9_simhash, route
 
 
 def fingerprint(text):
@@ -76,3 +76,29 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
+
+
+def test_string_ids_and_links_through_rows_without_ids(spark):
+    assert dict(components(spark.createDataFrame([("d2", "d1"), ("d2", "d3"), ("x", "y")], "a string, b string")).collect()) == {"d1": "d1", "d2": "d1", "d3": "d1", "x": "x", "y": "x"}
+    text = "alpha beta gamma delta epsilon zeta eta theta iota kappa " * 3
+    docs = spark.createDataFrame([("d9", text), ("d10", text.upper()), (None, text), ("e", "something else altogether"), (None, "no id")], "doc_id string, text string")
+    got = near_duplicates(docs).collect()
+    assert sorted(r.component or "-" for r in got) == ["-", "d10", "d10", "d10", "e"]
+
+
+def test_links_through_a_fingerprint_without_id(spark):
+    prints = spark.createDataFrame([(0b0000, "a"), (0b0011, None), (0b1111, "b"), (0b11111111 << 20, "c")], "fp long, rep string")
+    found = {frozenset(map(tuple, [r])) for r in components(link(prints)).collect()}
+    assert {dict(components(link(prints)).collect()).get(x) for x in (0, 3, 15)} == {0} and len(found) == 3
+
+
+def test_blocks_of_homes_and_visitors(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    whole = {r.doc_id: r.component for r in near_duplicates(docs).collect()}
+    prints = spark.createDataFrame([(r.fp, r.id) for r in fingerprints(docs).dropDuplicates(["fp"]).collect()], "fp long, rep long")
+    for leaf, block in ((20, 7), (1 << 20, 40)):
+        joined = dict(components(link(prints, leaf=leaf, block=block)).collect())
+        groups = {}
+        for fp, rep in prints.collect():
+            groups.setdefault(joined.get(fp, fp), set()).add(whole[rep])
+        assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(whole.values()))
