@@ -5,23 +5,25 @@ give each vector a home list; it also probes every list that lies within half
 the angle of `cosine` behind the plane between the two centroids (`probed`).  Of
 two vectors within that angle on either side of such a plane, one is within
 half of it, so every pair of any data meets.  In a list, homes are kept as codes of
-their residual's subspaces; a table of products of the query with every code
-gives asymmetric estimates.  As the length of what a code leaves out is known,
+their residual's subspaces; tables of the products of every code with a batch of
+queries give asymmetric estimates by look-up, a row of the batch at a time.  As the length of what a code leaves out is known,
 |q.x - q.x^| is bounded by it, so the filter loses no pair that meets, and
 an exact cosine in double precision decides.  Every pair is decided in one list
 only, so link counts are the same from both sides.  A list gives back counts and
 links to a local representative, never all pairs; star contraction joins them.
 
-A list with more than `block` homes is worked on in parts, each against the
-whole list.  All vectors are indexed; only centroids and codes come from the
-sample.  No pair is lost at any number of lists or components; where vectors
+A list with more than `block` homes or visitors is worked on in blocks, each
+block of homes against each block of the list's rows, so no task holds more than
+two blocks, however few lists there are.  All vectors are indexed; only centroids
+and codes come from the sample.  No pair is lost at any number of lists or components; where vectors
 have no clusters, most lists are probed and work grows nearly with the square
 of the vectors (figures in README).
 
 Vectors that are null, empty, zero or hold null or non-finite components link
 with nothing and are their own component.  Shorter vectors count as padded with
-zeros.  Equal vectors link with each other, repeated rows too.  A null id counts
-as a link of others but has no component unless another id is reachable.  An
+zeros.  Equal vectors link with each other, repeated rows too.  Links are between
+distinct vectors, so a null id links too, but has no component unless another id
+is reachable.  Ids may have any type that can be ordered.  An
 empty table gives no rows; other columns are ignored.
 """
 
@@ -35,17 +37,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, scratch, table
+from .common import components, scratch, share, table, taken
 
 COSINE = 0.9
 SAMPLE = 16_384
-PER_LIST = 256
+PER_LIST = 512
 MOST_LISTS = 4096
 SUBSPACES = 8
 CODES = 256
 BLOCK = 8192
 #: Probing vectors that Python gives on at a time.
 VISITS = 1 << 16
+#: Rows of a list that look up at a time.
+QUERIES = 256
 
 
 def folded(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -68,12 +72,18 @@ def folded(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInArrow(run, out)
 
 
-def matrix(raw: list[bytes], kind: str, width: int) -> np.ndarray:
-    """Rows of unit length, in double precision."""
-    out = np.zeros((len(raw), width))
-    for i, x in enumerate(raw):
-        own = np.frombuffer(x, kind)
-        out[i, : len(own)] = own
+def matrix(raw: pa.Array, kind: str, width: int) -> np.ndarray:
+    """Rows of unit length, in double precision, from little-endian bytes."""
+    if isinstance(raw, pa.ChunkedArray):
+        raw = raw.combine_chunks()
+    at = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]
+    flat = np.frombuffer(raw.buffers()[2], np.uint8)[at[0] : at[-1]].view(kind)
+    size = np.diff(at) // np.dtype(kind).itemsize
+    if (size == width).all():
+        out = flat.reshape(-1, width).astype(np.float64)
+    else:
+        out = np.zeros((len(raw), width))
+        out[np.arange(width) < size[:, None]] = flat
     out /= np.abs(out).max(axis=1, keepdims=True)
     return out / np.sqrt((out * out).sum(axis=1, keepdims=True))
 
@@ -123,93 +133,103 @@ class Index:
         return out, np.sqrt(left)
 
     def estimate(self, queries: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric estimates of query . home, by table look-ups."""
-        total = np.repeat((queries @ self.coarse[which])[:, None], len(codes), axis=1)
+        """Asymmetric estimates of home . query, in single precision, by table look-ups: a row for each home."""
+        total = np.empty((len(codes), len(queries)), np.float32)
+        total[:] = queries @ self.coarse[which]
         for j, p in enumerate(self.parts):
-            total += (queries[:, p] @ self.codes[j].T)[:, codes[:, j]]
+            of_code = (self.codes[j] @ queries[:, p].T).astype(np.float32)
+            total += of_code.take(codes[:, j], axis=0)
         return total
 
 
+def deal(routed: DataFrame, counts: DataFrame, block: int) -> DataFrame:
+    """(i, j, as_home, as_row) for each row: rows of a list go with all its blocks of homes, homes with all its blocks of rows."""
+    sizes = counts.groupBy("list").agg(F.sum("homes").alias("homes"), F.sum("rows").alias("rows")).where(F.col("rows") > block)
+    # one row a list, of which there are MOST_LISTS at most
+    large = sizes.select("list", F.greatest(F.lit(1), F.ceil(F.col("homes") / block).cast("int")).alias("h"), F.ceil(F.col("rows") / block).cast("int").alias("r"))
+    routed = routed.join(F.broadcast(large), "list", "left").withColumns({"h": F.coalesce("h", F.lit(1)), "r": F.coalesce("r", F.lit(1))})
+    routed = routed.withColumns({"at_home": F.col("home") == F.col("list"), "own_h": F.expr("int(pmod(xxhash64(node), h))"), "own_r": F.expr("int(pmod(xxhash64(node, 1), r))")})
+    as_row = F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda i: F.struct(i.alias("i"), F.col("own_r").alias("j"), (F.col("at_home") & (i == F.col("own_h"))).alias("as_home"), F.lit(True).alias("as_row")))
+    as_home = F.transform(F.filter(F.sequence(F.lit(0), F.col("r") - 1), lambda j: F.col("at_home") & (j != F.col("own_r"))), lambda j: F.struct(F.col("own_h").alias("i"), j.alias("j"), F.lit(True).alias("as_home"), F.lit(False).alias("as_row")))
+    return routed.select("list", "home", "probes", "node", "n", "vec", F.inline(F.concat(as_row, as_home)))
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, margin: float = 0.0, per_list: int = PER_LIST, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
     """(id, n_links, component) of each row."""
     spark = vectors.sparkSession
     rows = scratch(folded(vectors, id_col, vector_col), "embeddings-rows")
     kind = "<f4" if vectors.schema[vector_col].dataType.elementType == T.FloatType() else "<f8"
-    key = vectors.schema[id_col].dataType
-    reps = scratch(rows.where("vec IS NOT NULL").groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("n")).withColumn("k", F.xxhash64("vec")), "embeddings-distinct")
+    reps = rows.where("vec IS NOT NULL").groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    reps = scratch(reps.select("*", F.monotonically_increasing_id().alias("node"), F.xxhash64("vec").alias("k")), "embeddings-distinct")
     total, width = reps.agg(F.count("*"), F.max(F.octet_length("vec"))).first()
     if not total:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     width //= 4 if kind == "<f4" else 8
-    some = [bytes(r["vec"]) for r in reps.where(F.expr(f"pmod(k, 1000000L) <= {int(1e6 * min(1, sample / total))}")).orderBy("k").select("vec").collect()]
-    some = some or [bytes(reps.orderBy("k").first()["vec"])]
-    index = spark.sparkContext.broadcast(Index(matrix(some, kind, width), min(MOST_LISTS, max(1, total // per_list))))
+    some = reps.where(F.expr(f"pmod(k, 1000000000L) <= {int(1e9 * min(1, sample / total))}")).orderBy("k", "vec").select("vec").toArrow().column("vec")
+    some = some if len(some) else reps.orderBy("k", "vec").limit(1).select("vec").toArrow().column("vec")
+    index = share(spark, Index(matrix(some.cast(pa.binary()), kind, width), min(MOST_LISTS, max(1, total // per_list))))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coarse = index.value.coarse
+        coarse = taken(index).coarse
         for batch in batches:
             for k in range(0, batch.num_rows, 1024):
                 part = batch.slice(k, 1024)
-                near = matrix(part.column("vec").to_pylist(), kind, width) @ coarse.T
+                near = matrix(part.column("vec").cast(pa.binary()), kind, width) @ coarse.T
                 home, probe = probed(near, coarse, cosine, margin)
-                own, none = [np.flatnonzero(p).astype(np.int32) for p in probe], np.zeros(0, np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(probe.sum(axis=1))].astype(np.int32)), pa.array(np.nonzero(probe)[1].astype(np.int32)))
                 whole = np.nonzero(probe)
                 for a in range(0, len(whole[0]), VISITS):
                     who, to = whole[0][a : a + VISITS], whole[1][a : a + VISITS]
                     # only the row in the home list is asked for its probes
-                    probes = [own[i] if at_home else none for i, at_home in zip(who.tolist(), (to == home[who]).tolist())]
+                    asked = pa.array(np.where(to == home[who], who, len(home)), mask=to != home[who])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(to.astype(np.int32)), pa.array(home[who].astype(np.int32)), pa.array(probes, pa.list_(pa.int32())), *(part.column(c).take(pa.array(who)) for c in ("k", "rep", "n", "vec"))],
-                        ["list", "home", "probes", "k", "rep", "n", "vec"],
+                        [pa.array(to.astype(np.int32)), pa.array(home[who].astype(np.int32)), lists.take(asked), *(part.column(c).take(pa.array(who)) for c in ("node", "n", "vec"))],
+                        ["list", "home", "probes", "node", "n", "vec"],
                     )
 
-    schema = T.StructType([T.StructField("list", T.IntegerType()), T.StructField("home", T.IntegerType()), T.StructField("probes", T.ArrayType(T.IntegerType())), T.StructField("k", T.LongType()), T.StructField("rep", key), T.StructField("n", T.LongType()), T.StructField("vec", T.BinaryType())])
-    routed = reps.select("k", "rep", "n", "vec").mapInArrow(route, schema)
-    homes = reps.select("k", "rep", "n", "vec").mapInArrow(route, schema).where("list = home").groupBy("list").agg(F.count("*").alias("n"))
-    big = {r["list"]: -(-r["n"] // block) for r in homes.where(F.col("n") > block).collect()}
-    if big:
-        many = F.coalesce(F.create_map(*[F.lit(x) for pair in big.items() for x in pair])[F.col("list")], F.lit(1))
-        routed = routed.withColumn("parts", many).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    else:
-        routed = routed.withColumn("parts", F.lit(1)).withColumn("part", F.lit(0))
+    routed = reps.select("node", "n", "vec").mapInArrow(route, "list int, home int, probes array<int>, node long, n long, vec binary")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coarse = taken(index).coarse
+        homes, all_ = np.zeros(len(coarse), np.int64), np.zeros(len(coarse), np.int64)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                home, probe = probed(matrix(batch.slice(k, 1024).column("vec").cast(pa.binary()), kind, width) @ coarse.T, coarse, cosine, margin)
+                homes += np.bincount(home, minlength=len(coarse))
+                all_ += probe.sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(coarse), dtype=np.int32)), pa.array(homes), pa.array(all_)], ["list", "homes", "rows"])
+
+    dealt = deal(routed, reps.select("vec").mapInArrow(count, "list int, homes long, rows long"), block)
 
     def compare(key_: tuple, part: pa.Table) -> pa.Table:
-        which, own_part = key_[0].as_py(), key_[1].as_py()
-        idx = index.value
-        x = matrix(part.column("vec").to_pylist(), kind, width)
-        home, k, n = part.column("home").to_numpy(), part.column("k").to_numpy(), part.column("n").to_numpy()
-        part_of = np.where(home == which, k % part.column("parts").to_numpy(), -1)
-        inside = np.flatnonzero((home == which) & (part_of == own_part))
-        # a home's probes tell which visitors it meets again in their own list
-        probes = part.column("probes").combine_chunks()
-        flat, at = probes.flatten().to_numpy(), probes.offsets.to_numpy()
+        which = key_[0].as_py()
+        idx = taken(index)
+        x = matrix(part.column("vec").cast(pa.binary()), kind, width)
+        home, node, n = part.column("home").to_numpy(), part.column("node").to_numpy(), part.column("n").to_numpy()
+        inside = np.flatnonzero(part.column("as_home").to_numpy(zero_copy_only=False))
+        asking = np.flatnonzero(part.column("as_row").to_numpy(zero_copy_only=False))
         links, label, touched = np.zeros(len(x), np.int64), np.arange(len(x)), np.zeros(len(x), bool)
-        codes, left = idx.encode(x[inside] - idx.coarse[which]) if len(inside) else (None, None)
-        position = np.full(len(x), -1)
-        position[inside] = np.arange(len(inside))
-        lists = len(idx.coarse)
-        visits = np.zeros((len(inside), lists), bool) if len(inside) * lists < 1 << 26 else None
-        if visits is not None:
-            for i, h in enumerate(inside.tolist()):
-                visits[i, flat[at[h] - at[0] : at[h + 1] - at[0]]] = True
-        step = max(1, (1 << 21) // max(1, len(inside)))
-        for a in range(0, len(x), step) if len(inside) else ():
-            q = np.arange(a, min(a + step, len(x)))
-            who, to = np.nonzero(idx.estimate(x[q], which, codes) >= cosine - 1e-6 - left)
-            who = q[who]
-            other = inside[to]
-            mine = position[who] >= 0
-            ok = np.where(mine, position[who] < to, np.where(part_of[who] >= 0, own_part < part_of[who], True))
-            who, to, other = who[ok], to[ok], other[ok]
-            away = home[who] != which
-            if visits is not None:
-                again = away & visits[to, home[who]] & (home[who] < which)
-            else:
-                again = np.array([w and h < which and h in flat[at[o] - at[0] : at[o + 1] - at[0]] for w, h, o in zip(away, home[who], other)], bool)
-            who, other = who[~again], other[~again]
+        if len(inside):
+            # a home's probes tell which visitors it meets again in their own list
+            probes = part.column("probes").combine_chunks().take(pa.array(inside))
+            flat, at = probes.flatten().to_numpy(), probes.offsets.to_numpy()
+            lists = len(idx.coarse)
+            again = np.unique(np.repeat(np.arange(len(inside)), np.diff(at)) * lists + flat)
+            codes, left = idx.encode(x[inside] - idx.coarse[which])
+            least = (cosine - 1e-5 - left).astype(np.float32)[:, None]
+        for a in range(0, len(asking), QUERIES) if len(inside) else ():
+            q = asking[a : a + QUERIES]
+            to, who = np.nonzero(idx.estimate(x[q], which, codes) >= least)
+            who, other = q[who], inside[to]
+            # two homes of one list meet twice, in the order of their nodes only once
+            ok = np.where(home[who] == which, node[who] < node[other], home[who] > which)
+            lower = np.flatnonzero((home[who] != which) & ~ok)
+            key = to[lower] * lists + home[who[lower]]
+            ok[lower] = again[np.minimum(np.searchsorted(again, key), len(again) - 1)] != key
+            who, other = who[ok], other[ok]
             exact = np.empty(len(who))
-            for b in range(0, len(who), 1 << 16):
-                exact[b : b + (1 << 16)] = np.einsum("ij,ij->i", x[who[b : b + (1 << 16)]], x[other[b : b + (1 << 16)]])
+            for b in range(0, len(who), 1 << 14):
+                exact[b : b + (1 << 14)] = np.einsum("ij,ij->i", x[who[b : b + (1 << 14)]], x[other[b : b + (1 << 14)]])
             ok = exact >= cosine
             who, other = who[ok], other[ok]
             np.add.at(links, who, n[other])
@@ -226,15 +246,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         order = out[np.argsort(label[out], kind="stable")]
         first = np.flatnonzero(np.r_[True, np.diff(label[order]) > 0]) if len(order) else np.zeros(0, np.int64)
         root = np.repeat(order[first], np.diff(np.r_[first, len(order)]))
-        rep = part.column("rep").combine_chunks()
-        return pa.table({"k": pa.array(k[order]), "rep": rep.take(pa.array(order)), "root": rep.take(pa.array(root)), "links": pa.array(links[order])})
-
-    found = scratch(routed.groupBy("list", "part").applyInArrow(compare, T.StructType([T.StructField("k", T.LongType()), T.StructField("rep", key), T.StructField("root", key), T.StructField("links", T.LongType())])), "embeddings-links")
-    counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    groups = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "embeddings-groups")
-    named = reps.select("vec", "rep", "n").join(counted, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
-    return rows.join(named, "vec", "left").select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component"))
+        return pa.table({"node": node[order], "root": node[root], "links": links[order]})
+
+    found = scratch(dealt.groupBy("list", "i", "j").applyInArrow(compare, "node long, root long, links long"), "embeddings-links")
+    counted = found.groupBy("node").agg(F.sum("links").alias("links"))
+    groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), "embeddings-groups")
+    named = reps.select("vec", "rep", "n", "node").join(counted, "node", "left").join(groups, "node", "left")
+    named = scratch(named.select("vec", "rep", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "node").alias("root")), "embeddings-named")
+    named = named.join(named.groupBy("root").agg(F.min("rep").alias("component")), "root").select("vec", "links", "component")
+    return rows.join(named, "vec", "left").select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("vec").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
 
 
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,3 +76,17 @@ def test_probes_reach_one_of_each_pair_at_4096_lists():
         y = 0.9 * x + np.sqrt(0.19) * side / np.linalg.norm(side, axis=1, keepdims=True)
         (a, ours), (b, theirs) = (probed(z @ coarse.T, coarse, 0.9) for z in (x, y))
         assert (ours[np.arange(1000), b] | theirs[np.arange(1000), a]).all()
+
+
+def test_string_ids_and_null_ids(spark):
+    vectors = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.3]), (None, [1.0, 0.6]), ("z", [1.0, 1.0]), ("c", [-1.0, 0.0])], "vec_id string, embedding array<float>")
+    got = {r.vec_id: (r.n_links, r.component) for r in near_duplicates(vectors).collect()}
+    assert got == {"b": (1, "a"), "a": (2, "a"), None: (2, "a"), "z": (1, "a"), "c": (0, "c")}
+
+
+def test_blocks_and_list_counts_lose_nothing(spark):
+    rows = groups(5)
+    want = brute(rows)
+    for per_list, block in ((20, 16), (100, 60), (1000, 33)):
+        got = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), per_list=per_list, block=block).collect()
+        assert sorted((r.vec_id, r.n_links, r.component, r.vec_id == r.component) for r in got) == want
