@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-from marlstone.llm.secrets import find_secrets, op5_secrets
+from marlstone.llm.secrets import find_secrets, op5_secrets, redact
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 
@@ -50,3 +50,29 @@ def test_ownership_separates_examples_from_live_keys(spark):
     assert [(s.verdict, s.owners, s.repositories) for s in got[1]] == [("live", 1, 2)]
     assert [(s.verdict, s.owners, s.repositories, s.kind) for s in got[12]] == [("example", 5, 5, "assign")]
     assert [s.verdict for s in got[3]] == ["weak"]
+
+
+def test_two_owners_and_many_repositories_make_an_example(spark):
+    rows = [(i, "token=a1B2c3D4e5F6g7H8", f"o{i % 2}") for i in range(24)] + [(100 + i, "token=Z1B2c3D4e5F6g7H8", "o1") for i in range(24)]
+    got = {r.doc_id: r.spans[0] for r in find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {got[i].verdict for i in range(24)} == {"example"} and {got[100 + i].verdict for i in range(24)} == {"live"}
+
+
+def test_texts_with_very_many_matches(spark, tmp_path):
+    many = " é ".join(f"token: {i:012d} {'ab' * 16}{i % 16:x}" for i in range(30_000))
+    spark.createDataFrame([(1, many, "s"), (2, many[: 1 << 19], "t")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    check(spark, str(tmp_path))
+
+
+def test_redaction_cuts_overlapping_spans_once(spark):
+    h = "0123456789abcdef" * 2
+    text = f"é token={h} ß secret: '{h}z' AKIA{'Q' * 14} \U0001f600 password=abc tail " * 300 + "é"
+    docs = spark.createDataFrame([(1, text, "s"), (2, None, "s"), (3, "plain", None), (4, f"x{h}", "s")], "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in redact(docs).collect()}
+    spans = sorted([(m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8] + [(m.start(), m.end()) for p in ("AKIA[A-Z0-9]{12,}", "[0-9a-f]{32,}") for m in re.finditer(p, text)])
+    out, at = [], 0
+    for a, b in spans:
+        if a >= at:
+            out += [text[at:a], "[SECRET]"]
+        at = max(at, b)
+    assert got == {1: "".join(out) + text[at:], 2: None, 3: "plain", 4: "x[SECRET]"}
