@@ -5,12 +5,15 @@ an item of fewer words is one pattern.  Patterns of one length share a table:
 the shift of a block of two words is its least distance from the end of any
 pattern, and an absent block shifts past all positions it could touch.  Words
 are numbered (absent words get 0), one cursor per document runs in lockstep
-with the others of its batch, and a shift of zero looks up the bucket of that
-suffix block, whose patterns are then compared word by word.
+with the others of its batch, and a shift of zero looks up the bucket of the
+suffix that ends there, by a hash of all its words, so that very frequent blocks
+select few patterns, which are then compared word by word.
 
 The benchmark reaches the executors in blocks of at most `block_bytes` of
-normalised text; one block is the usual case, and more blocks repeat the scan
-and merge the spans by document.
+normalised text, by broadcast; a worker builds a block's tables once.  The tables
+are arrays over the items' words (about 40 bytes a word, besides the distinct
+words).  One block is the usual case, and more blocks repeat the scan and merge
+the spans by document.
 
 Null or wordless texts have no words and no hits; items without words are never
 found; repeated rows get a row each; repeated items count by their ids, once
@@ -29,10 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, scratch, sliced, table
+from .common import as_bytes, scratch, share, sliced, table, taken
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: A-Z to a-z, and every ASCII byte that no word holds to a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -48,36 +52,67 @@ class Numbers(dict):
         return 0
 
 
+def suffix_hash(words: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the `length` words before each end."""
+    h = np.zeros(len(end), np.uint64)
+    for k in range(length):
+        h = (h ^ words[end - length + k].astype(np.uint64)) * MULTIPLIER
+        h ^= h >> np.uint64(29)
+    return h
+
+
 class Matcher:
-    """Tables of one block of patterns."""
+    """Tables of one block of patterns, by their length."""
 
     def __init__(self, items: list[tuple[object, bytes]], window: int = WINDOW):
         self.numbers = Numbers()
-        patterns: dict[tuple[int, ...], set] = defaultdict(set)
+        self.items = sorted({str(item) for item, _ in items})
+        place = {x: i for i, x in enumerate(self.items)}
+        words, owners = [], []
         for item, text in items:
-            w = [self.numbers.setdefault(x, len(self.numbers) + 1) for x in words_of(text)]
-            for k in range(max(1, len(w) - window + 1) if w else 0):
-                patterns[tuple(w[k : k + window])].add(item)
-        self.base = len(self.numbers) + 1
+            w = words_of(text)
+            if w:
+                words.append(np.fromiter((self.numbers.setdefault(x, len(self.numbers) + 1) for x in w), np.int32, len(w)))
+                owners.append(place[str(item)])
+        self.base = np.int64(len(self.numbers) + 1)
+        self.words = np.concatenate(words) if words else np.zeros(0, np.int32)
+        size = np.array([len(w) for w in words], np.int64)
+        first, owners = np.cumsum(size) - size, np.array(owners, np.int32)
+        length, many = np.minimum(size, window), np.maximum(1, size - window + 1)
         self.tables = []
-        for length in sorted({len(p) for p in patterns}):
-            own = sorted(p for p in patterns if len(p) == length)
-            block = min(2, length)
-            shift: dict[int, int] = {}
-            for p in own:
-                for end in range(block, length + 1):
-                    key = self._key(p[end - block : end])
-                    shift[key] = min(shift.get(key, length), length - end)
-            keys = np.array(sorted(shift), np.int64)
-            matrix = np.array(own, np.int64).reshape(-1, length)
-            suffix = np.array([self._key(p[length - block :]) for p in own], np.int64)
-            order = np.argsort(suffix, kind="stable")
-            matrix, suffix = matrix[order], suffix[order]
-            owners = [frozenset(patterns[tuple(p)]) for p in matrix.tolist()]
-            self.tables.append((length, block, keys, np.array([shift[k] for k in keys.tolist()], np.int64), matrix, suffix, owners))
-
-    def _key(self, block: tuple[int, ...]) -> int:
-        return block[0] * self.base + block[1] if len(block) == 2 else block[0]
+        for n in np.unique(length).tolist():
+            own = np.flatnonzero(length == n)
+            starts = np.repeat(first[own], many[own]) + np.arange(many[own].sum()) - np.repeat(np.cumsum(many[own]) - many[own], many[own])
+            self.tables.append(self._table(starts, np.repeat(owners[own], many[own]), n))
+
+    def _key(self, at: np.ndarray, block: int) -> np.ndarray:
+        """Keys of the blocks that end before the places given."""
+        return self.words[at - 1].astype(np.int64) if block == 1 else self.words[at - 2] * self.base + self.words[at - 1]
+
+    def _table(self, starts: np.ndarray, owner: np.ndarray, length: int) -> tuple:
+        block = min(2, length)
+        # equal patterns become one, with all their owners
+        order = np.lexsort([self.words[starts + k] for k in reversed(range(length))])
+        starts, owner = starts[order], owner[order]
+        new = np.ones(len(starts), bool)
+        new[1:] = False
+        for k in range(length):
+            w = self.words[starts + k]
+            new[1:] |= w[1:] != w[:-1]
+        pattern = np.cumsum(new) - 1
+        pairs = np.unique(pattern * np.int64(len(self.items)) + owner)
+        owned = np.searchsorted(pairs, np.arange(pattern[-1] + 2, dtype=np.int64) * len(self.items))
+        owner = (pairs % len(self.items)).astype(np.int32)
+        starts = starts[new]
+        bucket = suffix_hash(self.words, starts + length, length)
+        order = np.argsort(bucket, kind="stable")
+        keys, shifts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for end in range(length, block - 1, -1):
+            # the shift that comes first is the least
+            found = np.setdiff1d(self._key(starts + end, block), keys)
+            at = np.searchsorted(keys, found)
+            keys, shifts = np.insert(keys, at, found), np.insert(shifts, at, length - end)
+        return length, block, keys, shifts, starts[order], bucket[order], owned[:-1][order], owned[1:][order], owner
 
     def hits(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, dict[int, set], np.ndarray]:
         """Words in each text, their running total, the items found in each text that has some, and whether each word is hit."""
@@ -91,16 +126,16 @@ class Matcher:
         flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
         edge = np.zeros(len(flat) + 1, np.int32)
         found: dict[int, set] = defaultdict(set)
-        for starts, which, length, owners in self.search(flat, last - n, last):
+        for starts, which, length, low, high, owner in self.search(flat, last - n, last):
             np.add.at(edge, starts, 1)
             np.add.at(edge, starts + length, -1)
             for d, p in set(zip(np.searchsorted(last, starts, "right").tolist(), which.tolist())):
-                found[d] |= owners[p]
+                found[d].update(owner[low[p] : high[p]].tolist())
         return n, last, found, np.cumsum(edge[:-1]) > 0
 
-    def search(self, ids: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, list]]:
-        """ids: the words of a batch; first and last: the bounds of each document.  Gives (starts, pattern, length, owners)."""
-        for length, block, keys, shifts, matrix, suffix, owners in self.tables:
+    def search(self, ids: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[tuple]:
+        """ids: the words of a batch; first and last: the bounds of each document.  Gives (starts, pattern, length, and where the owners of each pattern lie)."""
+        for length, block, keys, shifts, at_word, buckets, low, high, owner in self.tables:
             end = first + length
             live = end <= last
             end, stop = end[live], last[live]
@@ -112,29 +147,43 @@ class Matcher:
                 move = np.where(keys[at] == key, shifts[at], absent)
                 zero = np.flatnonzero(move == 0)
                 if len(zero):
-                    k, e = key[zero], end[zero]
-                    lo, hi = np.searchsorted(suffix, k), np.searchsorted(suffix, k, "right")
+                    e = end[zero]
+                    bucket = suffix_hash(ids, e, length)
+                    lo, hi = np.searchsorted(buckets, bucket), np.searchsorted(buckets, bucket, "right")
                     many = hi - lo
                     e = np.repeat(e, many)
                     p = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                    same = ids[e - length] == matrix[p, 0]
-                    e, p = e[same], p[same]
-                    same = (ids[(e - length)[:, None] + np.arange(length)] == matrix[p]).all(axis=1)
-                    starts.append(e[same] - length)
-                    hits.append(p[same])
+                    for k in range(length):
+                        same = ids[e - length + k] == self.words[at_word[p] + k]
+                        e, p = e[same], p[same]
+                    starts.append(e - length)
+                    hits.append(p)
                 end = end + np.maximum(move, 1)
                 live = end <= stop
                 if not live.all():
                     end, stop = end[live], stop[live]
             if starts:
-                yield np.concatenate(starts), np.concatenate(hits), length, owners
+                yield np.concatenate(starts), np.concatenate(hits), length, low, high, owner
+
+
+class Block:
+    """A block of items as it is broadcast; its tables are built in the worker, once."""
+
+    def __init__(self, items: list[tuple[object, bytes]], window: int):
+        self.items, self.window, self.own = items, window, None
+
+    def matcher(self) -> Matcher:
+        if self.own is None:
+            self.own, self.items = Matcher(self.items, self.window), None
+        return self.own
 
 
 def scan(docs: DataFrame, items: list[tuple[object, bytes]], window: int = WINDOW) -> DataFrame:
     """One row per row of docs: id, n_words, spans [(first, last)] of hit words merged, items that occur (sorted as strings)."""
+    block = share(docs.sparkSession, Block(items, window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(items, window)
+        matcher = taken(block).matcher()
         for batch in sliced(batches, "text"):
             n, last, found, hit = matcher.hits(as_bytes(batch, "text"))
             first = last - n
@@ -146,7 +195,7 @@ def scan(docs: DataFrame, items: list[tuple[object, bytes]], window: int = WINDO
                     own = [{"first": a, "last": b} for a, b in zip(np.flatnonzero(x == 1).tolist(), np.flatnonzero(x == -1).tolist())]
                 spans.append(own)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("id"), pa.array(n), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array([sorted(map(str, found.get(d, ()))) for d in range(len(n))], pa.list_(pa.string()))],
+                [batch.column("row"), batch.column("id"), pa.array(n), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array([[matcher.items[i] for i in sorted(found.get(d, ()))] for d in range(len(n))], pa.list_(pa.string()))],
                 ["row", "id", "n_words", "spans", "items"],
             )
 
@@ -170,8 +219,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     items, blocks = _items(benchmark, item_col, block_bytes)
 
     def without(own: list[tuple[object, bytes]]):
+        block = share(docs.sparkSession, Block(own, window))
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(own, window)
+            matcher = taken(block).matcher()
             for batch in sliced(batches, text_col):
                 texts = as_bytes(batch, text_col)
                 _, last, found, _ = matcher.hits(texts)
