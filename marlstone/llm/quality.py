@@ -2,20 +2,23 @@
 
 Two zstandard dictionaries are trained, one on good and one on bad labelled
 text.  A document compressed with the dictionary that is like it gets smaller;
-the difference of the two sizes over the size without a dictionary, for the
-whole text and for its chunks, and how far plain compression gets, are turned
-into a probability by logistic regression on labelled rows that no dictionary
-has seen.
+the difference of the two sizes, over the size without a dictionary and over the
+length, for the whole text and for its chunks (mean, least and greatest), is turned
+into a probability by logistic regression on labelled rows that no dictionary has
+seen.  No other feature takes part.
 
 Labelled rows are sampled by a hash of the id: at most about `sample` of each
-class, half for the dictionaries, half for the calibration.  Sampled texts train
-whole, in pieces; documents are compressed whole.
+class, half for the dictionaries, half for the calibration; where one id has very
+many texts, by a hash of the text too.  The dictionaries train on pieces drawn by a
+hash over the whole length of the first half's texts, about `train_bytes` of each
+class at most, which is all the text that the driver sees; the calibration's
+features are made where the rows are.  Documents are compressed whole.
 
-Null and empty texts get the share of label 1 in the calibration rows.  Null
+Null and empty texts get the share of label 1 among the labelled ids.  Null
 labels, and labels of unknown ids, are ignored; several labels of one id all
-train.  If a class has no row, the score is 1 or 0 by the class that there is,
-or 0.5 without any label.  Repeated rows get a row each; other columns are
-ignored.
+train; equal labelled rows train once.  If a class has no row, the score is 1 or 0
+by the class that there is, or 0.5 without any label.  Repeated rows get a row each
+and texts that are equal get equal scores; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,15 +31,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, remainder, sliced, table
+from .common import as_bytes, forget, remainder, scratch, sliced, table
 
 SAMPLE = 2_000
 #: Bytes of the pieces into which training texts are cut, over their whole length; the dictionaries' own size.
 PIECE = 2_000
-DICTIONARY = 64 << 10
+DICTIONARY = 112 << 10
+#: Bytes of text of each class from which its dictionary is made.
+TRAIN_BYTES = 8 << 20
 LEVEL = 3
 #: Bytes of the chunks whose sizes show where in a text it turns bad.
-CHUNK = 400
+CHUNK = 200
 
 
 def compressors(good: bytes, bad: bytes, level: int = LEVEL) -> list:
@@ -56,25 +61,21 @@ def cut(text: bytes) -> list[bytes]:
     return [text[k : k + CHUNK] for k in starts[:-1]] + [text[starts[-1] :]]
 
 
-def pieces(texts: list[bytes], piece: int = PIECE) -> list[bytes]:
-    return [t[k : k + piece] for t in texts for k in range(0, len(t), piece)]
-
-
 def features(text: bytes, tools: list) -> list[float]:
-    """1, the normalised difference of the whole text, and over its chunks: the difference's mean and least value and the least plain ratio."""
+    """1, and the difference of the two sizes over the plain size and over the length: of the whole text, and the mean, least and greatest of its chunks."""
     good, bad, plain = (len(t.compress(text)) for t in tools)
     chunks = cut(text)
     sizes = np.array([[len(t.compress(c)) for t in tools] for c in chunks], float)
-    part = (sizes[:, 1] - sizes[:, 0]) / sizes[:, 2]
-    tight = sizes[:, 2] / np.array([len(c) + 20 for c in chunks])
-    return [1.0, (bad - good) / plain, part.mean(), part.min(), tight.min(), tight.mean(), plain / (len(text) + 20)]
+    more = sizes[:, 1] - sizes[:, 0]
+    part, tight = more / sizes[:, 2], more / np.array([len(c) + 20 for c in chunks])
+    return [1.0, (bad - good) / plain, (bad - good) / (len(text) + 20), part.mean(), part.min(), part.max(), tight.mean(), tight.min(), tight.max()]
 
 
-def train_dictionary(texts: list[bytes], size: int = DICTIONARY, piece: int = PIECE) -> bytes:
+def train_dictionary(pieces: list[bytes], size: int = DICTIONARY) -> bytes:
     """A trained dictionary; too little text serves as raw content."""
     import zstandard as z
 
-    parts = [p for p in pieces(texts, piece) if len(p) >= 8]
+    parts = [p for p in pieces if len(p) >= 8]
     if sum(map(len, parts)) >= 10 * size and len(parts) >= 16:
         try:
             return z.train_dictionary(size, parts, level=LEVEL).as_bytes()
@@ -96,36 +97,72 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50,
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> dict:
+def drawn(rows: DataFrame, limit: int, piece: int = PIECE) -> dict[int, list[bytes]]:
+    """Pieces of the texts of rows (id, y, text) by class, about limit bytes of each, drawn over their whole length."""
+    from xxhash import xxh64_intdigest
+
+    total = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    bound = {y: int(2**64 * min(1, limit / n)) for y, n in total.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text"):
+            labels, parts = [], []
+            for y, text in zip(batch.column("y").to_pylist(), as_bytes(batch, "text")):
+                for k in range(0, len(text), piece):
+                    if xxh64_intdigest(text[k : k + piece], k) < bound[y]:
+                        labels.append(y)
+                        parts.append(text[k : k + piece])
+            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(parts, pa.binary())], ["y", "part"])
+
+    out: dict[int, list[bytes]] = {0: [], 1: []}
+    for r in rows.select("y", "text").mapInArrow(run, "y int, part binary").collect():
+        out[r["y"]].append(bytes(r["part"]))
+    return {y: sorted(x) for y, x in out.items()}
+
+
+def measured(rows: DataFrame, good: bytes, bad: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of rows (y, text), in an order of their own."""
+    tools_of = rows.sparkSession.sparkContext.broadcast((good, bad))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tools = compressors(*tools_of.value)
+        for batch in sliced(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([features(t, tools) for t in as_bytes(batch, "text")], pa.list_(pa.float64()))], ["y", "x"])
+
+    found = sorted((r["y"], r["x"]) for r in rows.select("y", "text").mapInArrow(run, "y int, x array<double>").collect())
+    return np.array([x for _, x in found]), np.array([y for y, _ in found], float)
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, train_bytes: int = TRAIN_BYTES) -> dict:
     """The model: dictionaries, mean and scale of the features, weights, share of label 1."""
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)").distinct()
     sizes = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return {"share": float(min(sizes)) if sizes else 0.5}
+    share = float(sizes[1]) / (sizes[0] + sizes[1])
     part = F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1_000_000))
     bound = F.when(F.col("y") == 1, int(1e6 * min(1, sample / sizes[1])) + 1).otherwise(int(1e6 * min(1, sample / sizes[0])) + 1)
     # about 2 * sample ids by the counts above, whatever the input: the texts stay where they are
     few = F.broadcast(own.where(part < bound))
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("octet_length(text) > 0").join(few, "id")
-    rows = chosen.select("y", F.col("text").cast("binary").alias("text"), (F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(2)) == 0).alias("first"), "id").orderBy("id", "y", "text")
-    first: dict[int, list[bytes]] = {0: [], 1: []}
-    second: list[tuple[int, bytes]] = []
-    for r in rows.toLocalIterator():
-        first[r["y"]].append(bytes(r["text"])) if r["first"] else second.append((r["y"], bytes(r["text"])))
-    good, bad = train_dictionary(first[1]), train_dictionary(first[0])
-    tools = compressors(good, bad)
-    if len({y for y, _ in second}) < 2:
-        second += [(y, t) for y in (0, 1) for t in first[y]]
-    if len({y for y, _ in second}) < 2:
-        return {"share": float(sizes[1]) / (sizes[0] + sizes[1])}
-    x, y = np.array([features(t, tools) for _, t in second]), np.array([y for y, _ in second], float)
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("octet_length(text) > 0").join(few, "id").dropDuplicates(["id", "y", "text"])
+    chosen = scratch(chosen.withColumn("first", F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(2)) == 0), "quality-labelled")
+    there = {(r["y"], r["first"]): r["n"] for r in chosen.groupBy("y", "first").agg(F.count("*").alias("n")).collect()}
+    if max(there.values(), default=0) > 2 * sample:
+        most = F.create_map(*[x for k, n in there.items() for x in (F.concat_ws("-", F.lit(k[0]), F.lit(k[1])), F.lit(int(1e6 * min(1, sample / n)) + 1))])
+        chosen = chosen.where(F.pmod(F.xxhash64(F.lit(23), "text"), F.lit(1_000_000)) < most[F.concat_ws("-", F.col("y"), F.col("first"))])
+    pieces = drawn(chosen.where("first"), train_bytes)
+    good, bad = train_dictionary(pieces[1]), train_dictionary(pieces[0])
+    second = chosen.where("NOT first") if {y for y, first in there if not first} == {0, 1} else chosen
+    x, y = measured(second, good, bad)
+    forget(chosen)
+    if len(set(y.tolist())) < 2:
+        return {"share": share}
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     mean[0], scale[0] = 0, 1
-    prior = np.where(y == 1, sizes[1] / max(1, y.sum()), sizes[0] / max(1, (1 - y).sum()))
+    prior = np.where(y == 1, sizes[1] / y.sum(), sizes[0] / (1 - y).sum())
     prior /= prior.mean()
-    z = (x - mean) / scale
-    weights = logistic(z, y, prior)
-    return {"good": good, "bad": bad, "mean": mean, "scale": scale, "weights": weights, "share": sizes[1] / (sizes[0] + sizes[1])}
+    weights = logistic((x - mean) / scale, y, prior)
+    return {"good": good, "bad": bad, "mean": mean, "scale": scale, "weights": weights, "share": share}
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,8 +2,9 @@
 
 import numpy as np
 
-from marlstone.llm.language import infer, mixture, op10_language
-from marlstone.llm.quality import CHUNK, cut, fit, op4_quality, pieces
+from marlstone.llm.language import fit as fit_languages
+from marlstone.llm.language import grams, infer, mixture, op10_language
+from marlstone.llm.quality import CHUNK, compressors, cut, drawn, features, fit, op4_quality, score
 
 SF = "/root/testdata/sf0.01"
 
@@ -63,7 +64,6 @@ def test_quality_cuts_keep_every_byte():
     for n in (0, 1, 199, 200, 201, 400, 599, 600, 601, 50_000):
         text = rng.bytes(n)
         assert b"".join(cut(text)) == text and all(len(c) <= CHUNK + CHUNK // 2 for c in cut(text))
-        assert b"".join(pieces([text])) == text
 
 
 def test_quality_trains_on_the_ends_of_long_texts(spark):
@@ -75,3 +75,45 @@ def test_quality_trains_on_the_ends_of_long_texts(spark):
     model = fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, quality int"))
     own = {y: sum(w.encode() in model[name] for w in ends[y]) for y, name in ((1, "good"), (0, "bad"))}
     assert own[0] >= 20 and own[1] >= 20
+
+
+def test_quality_scores_against_a_direct_computation(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    got = {r.doc_id: r.score for r in score(docs, model).collect()}
+    tools = compressors(model["good"], model["bad"])
+    scores = {}
+    for r in docs.collect():
+        text = (r.text or "").encode()
+        want = model["share"]
+        if text:
+            want = 1 / (1 + np.exp(-np.clip((np.array(features(text, tools)) - model["mean"]) / model["scale"] @ model["weights"], -30, 30)))
+        assert abs(got[r.doc_id] - want) < 1e-12 and scores.setdefault(text, got[r.doc_id]) == got[r.doc_id]
+
+
+def test_quality_one_class_no_class_and_equal_rows(spark):
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(20)] + [(1, "text number 1")] * 300, "doc_id long, text string")
+    labels = "doc_id long, quality int"
+    assert {r.score for r in score(docs, fit(docs, spark.createDataFrame([(1, 1), (2, 1), (3, None)], labels))).collect()} == {1.0}
+    assert {r.score for r in score(docs, fit(docs, spark.createDataFrame([(1, 0)], labels))).collect()} == {0.0}
+    assert {r.score for r in score(docs, fit(docs, spark.createDataFrame([], labels))).collect()} == {0.5}
+    both = [r.score for r in score(docs, fit(docs, spark.createDataFrame([(i, i % 2) for i in range(20)], labels))).collect()]
+    assert len(both) == 320 and len(set(both[19:])) <= 2
+
+
+def test_quality_bounds_what_the_driver_gets(spark):
+    rows = spark.createDataFrame([(i, i % 2, "".join(np.random.default_rng(i).choice(list("abcdef "), 200_000))) for i in range(8)], "id long, y int, text string")
+    whole, some = drawn(rows, 1 << 30), drawn(rows, 100_000)
+    assert sum(map(len, whole[0])) == 800_000 and 40_000 < sum(map(len, some[0])) < 200_000 and set(some[0]) <= set(whole[0])
+
+
+def test_language_fit_against_counts(spark):
+    docs = spark.createDataFrame([("en", "the cat"), ("en", "The dog!"), ("fr", "le chat"), (None, "nobody"), ("de", None)], "lang string, text string").selectExpr("1L AS doc_id", "*")
+    names, p = fit_languages(docs)
+    assert names == ["en", "fr"]
+    for k, texts in enumerate((["the cat", "The dog!"], ["le chat"])):
+        want = np.full(len(p), 0.5)
+        for t in texts:
+            g, n = grams(t.encode())
+            want[g] += n
+        assert np.allclose(p[:, k], want / want.sum())
