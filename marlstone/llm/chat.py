@@ -8,10 +8,12 @@ an assistant turn may call them, {"content", "tool_calls": [{"id", "name",
 Calls and results are linked by a hash join on conversation, identifier and the
 how-manieth use of the identifier.  Arguments are validated against the
 schemas that their conversation declares: required and unknown parameters, and
-types.  A call may refer to earlier results as "$ref:<id>" in an argument; rounds
-of joins release a call once all it refers to is released, so that the order
+types.  A tool that is declared more than once counts as declared last, by turn and
+then by text.  A call may refer to earlier results as "$ref:<id>" in an argument;
+rounds of joins release a call once all it refers to is released, so that the order
 of events (anchor turn, step, place) puts dependencies first and each result
-after its call.  Events are serialised as canonical JSON: keys sorted, no blanks,
+after its call.  A round reads the calls released by the one before it and the
+references still open, not all calls.  Events are serialised as canonical JSON: keys sorted, no blanks,
 arguments through VARIANT, which sorts the keys of objects at every depth.
 
 There is one row for each event and no conversation is gathered: the columns
@@ -28,6 +30,8 @@ are ignored, whatever their names.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -55,20 +59,22 @@ def parse(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]
     )
     calls = read.where("size(c.tool_calls) > 0").select("conv", "turn", F.posexplode("c.tool_calls").alias("place", "x")).select("conv", "turn", "place", F.col("x.id").alias("id"), F.col("x.name").alias("name"), F.col("x.arguments").alias("arguments"))
     results = read.where("r.tool_call_id IS NOT NULL").select("conv", "turn", F.lit(0).alias("place"), F.col("r.tool_call_id").alias("id"), F.col("r.content").alias("content"))
-    tools = read.where("size(t.tools) > 0").select("conv", F.explode("t.tools").alias("x")).select("conv", F.col("x.name").alias("name"), F.col("x.parameters").alias("parameters"))
+    tools = read.where("size(t.tools) > 0").select("conv", "turn", F.explode("t.tools").alias("x")).select("conv", "turn", F.col("x.name").alias("name"), F.col("x.parameters").alias("parameters"))
     is_call, is_result = F.coalesce(F.size("c.tool_calls") > 0, F.lit(False)), F.col("r.tool_call_id").isNotNull()
     messages = read.where(~is_result & (~is_call | F.col("c.content").isNotNull())).select("conv", "turn", "role", F.when(is_call, F.col("c.content")).otherwise(F.col("text")).alias("content"))
     return messages, calls, results, tools
 
 
 def numbered(events: DataFrame) -> DataFrame:
-    """use: the how-manieth event with that identifier in that conversation."""
-    return events.withColumn("use", F.row_number().over(W.partitionBy("conv", "id").orderBy("turn", "place", *(c for c in ("name", "arguments", "content") if c in events.columns))))
+    """use: the how-manieth event with that identifier in that conversation; 1 where either is null, as those link with nothing."""
+    named = F.col("conv").isNotNull() & F.col("id").isNotNull()
+    order = W.partitionBy("conv", "id").orderBy("turn", "place", *(c for c in ("name", "arguments", "content") if c in events.columns))
+    return events.where(named).withColumn("use", F.row_number().over(order)).unionByName(events.where(~named).withColumn("use", F.lit(1)))
 
 
 def problems(calls: DataFrame, tools: DataFrame) -> DataFrame:
     """(key, problems): sorted complaints about the arguments of calls whose tool is declared, or that it isn't."""
-    schema = tools.groupBy("conv", "name").agg(F.max("parameters").alias("parameters")).withColumn("declared", F.lit(True))
+    schema = tools.groupBy("conv", "name").agg(F.max_by("parameters", F.struct("turn", "parameters")).alias("parameters")).withColumn("declared", F.lit(True))
     both = calls.join(schema, ["conv", "name"], "left").select("key", "declared", F.try_parse_json("arguments").alias("a"), F.from_json("parameters", "properties map<string,struct<type:string>>, required array<string>").alias("s"))
     shape = F.schema_of_variant("a")
     given = both.where(shape.startswith("OBJECT")).select("key", F.from_json(F.to_json("a"), "map<string,variant>").alias("g"))
@@ -92,18 +98,27 @@ def ordered(calls: DataFrame) -> DataFrame:
     """(key, step, anchor, cycle): in rounds, calls whose references are all released get the greatest step and turn of these."""
     refs = calls.select("key", "conv", F.explode(F.array_distinct(F.regexp_extract_all("arguments", F.lit(r'"\$ref:([^"]+)"'), F.lit(1)))).alias("id"))
     firsts = calls.where("use = 1").select("conv", "id", F.col("key").alias("on"))
-    edges = scratch(refs.join(firsts, ["conv", "id"], "left").select("key", "on"), "chat-edges")
-    waiting = edges.groupBy("key").agg(F.count("*").alias("needs"))
-    released = scratch(calls.join(waiting, "key", "left_anti").select("key", F.lit(0).alias("step"), F.col("turn").alias("anchor")), "chat-order")
-    while waiting is not None:
-        ready = edges.join(released.withColumnRenamed("key", "on"), "on").groupBy("key").agg(F.count("*").alias("n"), F.max("step").alias("step"), F.max("anchor").alias("after"))
-        ready = ready.join(waiting, "key").where("n = needs").join(released.select("key"), "key", "left_anti")
-        ready = scratch(ready.join(calls.select("key", "turn"), "key").select("key", (F.col("step") + 2).alias("step"), F.greatest("turn", "after").alias("anchor")), "chat-ready")
-        if ready.isEmpty():
-            forget(ready)
-            break
-        released = scratch(released.unionByName(ready), "chat-order")
-    return calls.select("key", "turn").join(released, "key", "left").select("key", F.coalesce("step", F.lit(0)).alias("step"), F.coalesce("anchor", "turn").alias("anchor"), F.col("step").isNull().alias("cycle"))
+    open_ = scratch(refs.join(firsts, ["conv", "id"], "left").select("key", "on"), "chat-edges")
+    turns = calls.select("key", "turn")
+    waiting = scratch(open_.groupBy("key").agg(F.count("*").alias("needs")).join(turns, "key").select("key", "needs", F.lit(0).alias("step"), F.col("turn").alias("anchor")), "chat-waiting")
+    newest = scratch(calls.join(waiting, "key", "left_anti").select("key", F.lit(0).alias("step"), F.col("turn").alias("anchor")), "chat-order")
+    released = [newest]
+    while not newest.isEmpty() and not open_.isEmpty():
+        met = open_.join(newest.withColumnRenamed("key", "on"), "on").groupBy("key").agg(F.count("*").alias("met"), (F.max("step") + 2).alias("s"), F.max("anchor").alias("a"))
+        now = scratch(waiting.join(met, "key", "left").select("key", (F.col("needs") - F.coalesce("met", F.lit(0))).alias("needs"), F.greatest("step", "s").alias("step"), F.greatest("anchor", "a").alias("anchor")), "chat-waiting")
+        still = scratch(open_.join(newest.select(F.col("key").alias("on")), "on", "left_anti"), "chat-edges")
+        newest = scratch(now.where("needs = 0").drop("needs"), "chat-order")
+        forget(open_)
+        forget(waiting)
+        released, waiting, open_ = [*released, newest], now.where("needs > 0"), still
+        if len(released) > 16:
+            # the many small tables of a long chain become one, so that no plan grows with its length
+            old = released
+            released = [scratch(reduce(DataFrame.unionByName, old), "chat-order")]
+            for d in old[:-1]:
+                forget(d)
+    done = reduce(DataFrame.unionByName, released)
+    return turns.join(done, "key", "left").select("key", F.coalesce("step", F.lit(0)).alias("step"), F.coalesce("anchor", "turn").alias("anchor"), F.col("step").isNull().alias("cycle"))
 
 
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
