@@ -2,15 +2,19 @@
 
 Words are counted over the whole training corpus.  The `head` commonest words,
 the end of a text and `buckets` classes of all other words (by a hash of their
-last two bytes) are the model's classes.  The score of class w after class h is
-r_h . q_w + b_w; batched matrix products give the logarithm of the normaliser of
-every h once, so each token's log-probability is normalised exactly.  Within a
-bucket a word has its smoothed share of the bucket's training tokens.
+last two bytes) are the model's classes.  The context of a token is the classes of the
+POSITIONS tokens before it (the end stands before a text): their vectors, each
+weighted by its position's vector, add up to a prediction h.  The score of a class w is
+h . q_w + b_w.  Classes are dealt into about the square root of their number of
+groups, which are scored alike; a token's probability is that of its group times
+that of its class in the group, both normalised exactly by batched matrix
+products.  Within a bucket a word has its smoothed share of the bucket's training tokens.
 
 Training starts from the unigram biases.  Each task runs noise-contrastive
-estimation in numpy over its own part of the corpus, and the tasks' parameters
-are averaged, weighted by tokens, as plain sums in Spark.  All training texts
-take part.
+estimation in numpy over its own part of the corpus, for classes and for groups,
+and the tasks' parameters are averaged, weighted by tokens, as plain sums in Spark.
+All training texts take part.  So `score` depends, besides the texts, on how the
+scan is split into tasks; counts and `base_score` don't.
 
 Scoring looks up the `known` commonest words (each of at most WORD_BYTES, so
 their size is bounded) in every worker; the counts of all other words come by a
@@ -44,8 +48,12 @@ BUCKETS = 256
 KNOWN = 150_000
 WORD_BYTES = 64
 DIMENSIONS = 16
-NOISE = 64
+POSITIONS = 3
+#: Noise samples of a batch: classes, groups.
+NOISE = 64, 16
 BATCH = 4096
+#: Tokens that are normalised at a time.
+ROWS = 1 << 12
 RATE = 0.15
 ADD = 0.1
 
@@ -129,50 +137,110 @@ def vocabulary(counted: DataFrame, texts: int, head: int = HEAD, known: int = KN
     return Vocabulary(words, counts, texts, tokens, distinct, n, v, head)
 
 
+def contexts(classes: np.ndarray, begin: np.ndarray, end: int) -> np.ndarray:
+    """The classes of the POSITIONS tokens before each; begin: where each token's text begins; end stands before it."""
+    at = np.arange(len(classes))
+    return np.stack([np.where(at - k >= begin, classes[at - k], end) for k in range(1, POSITIONS + 1)], axis=1).astype(np.int32)
+
+
 class Model:
-    """r (contexts), q and b (targets); z: log normaliser of each context."""
+    """r: context vectors of classes, c: those of positions; q and b: targets; gq and gb: targets of groups."""
 
     def __init__(self, share: np.ndarray, dimensions: int = DIMENSIONS, seed: int = 1):
         rng = np.random.default_rng(seed)
-        self.r = (rng.standard_normal((len(share), dimensions)) * 0.1).astype(np.float32)
-        self.q = (rng.standard_normal((len(share), dimensions)) * 0.1).astype(np.float32)
-        self.b = np.log(share).astype(np.float32)
-        self.g = [np.full(len(share), 0.1, np.float32) for _ in range(3)]
-
-    def normalise(self, block: int = 512) -> None:
-        self.z = np.empty(len(self.b))
-        for k in range(0, len(self.b), block):
-            s = (self.r[k : k + block] @ self.q.T + self.b).astype(np.float64)
-            top = s.max(axis=1)
-            self.z[k : k + block] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
+        n = len(share)
+        self.groups = max(1, round(math.sqrt(n)))
+        # classes g, g + groups, ... are a group
+        self.share, self.group_share = share, np.bincount(np.arange(n) % self.groups, share)
+        vectors = lambda k: (rng.standard_normal((k, dimensions)) * 0.1).astype(np.float32)
+        self.r, self.q, self.gq = vectors(n), vectors(n), vectors(self.groups)
+        self.c = np.repeat((1 / np.arange(1, POSITIONS + 1, dtype=np.float32))[:, None], dimensions, axis=1)
+        self.b, self.gb = np.log(share).astype(np.float32), np.log(self.group_share).astype(np.float32)
+        self.past = {k: np.full(len(getattr(self, k)), 0.1, np.float32) for k in ("r", "q", "b", "gq", "gb", "c")}
+
+    def parameters(self) -> np.ndarray:
+        """All of them as one table, a bias in the last column."""
+        none = lambda x: np.c_[x, np.zeros(len(x))]
+        return np.concatenate([none(self.r), np.c_[self.q, self.b], np.c_[self.gq, self.gb], none(self.c)]).astype(np.float64)
+
+    def take(self, table_: np.ndarray) -> None:
+        r, q, gq, c = np.split(table_.astype(np.float32), np.cumsum([len(self.r), len(self.q), len(self.gq)]))
+        self.r, self.q, self.b, self.gq, self.gb, self.c = r[:, :-1].copy(), q[:, :-1].copy(), q[:, -1].copy(), gq[:, :-1].copy(), gq[:, -1].copy(), c[:, :-1].copy()
+
+    def predict(self, context: np.ndarray) -> np.ndarray:
+        return sum(self.r[context[:, k]] * self.c[k] for k in range(POSITIONS))
 
     def log10(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Normalised log10 probabilities of targets after contexts."""
-        s = np.einsum("ij,ij->i", self.r[context], self.q[target]) + self.b[target]
-        return (s - self.z[context]) / math.log(10)
-
-    def _step(self, which: int, table_: np.ndarray, rows: np.ndarray, grad: np.ndarray, rate: float) -> None:
-        order = np.argsort(rows, kind="stable")
+        out = np.empty(len(target))
+        h = np.empty((len(target), self.r.shape[1] + 1), np.float32)
+        # the last column stands for the biases
+        h[:, -1] = 1
+        for k in range(0, len(target), ROWS):
+            h[k : k + ROWS, :-1] = self.predict(context[k : k + ROWS])
+
+        def logs(rows: np.ndarray, q: np.ndarray, at: np.ndarray) -> np.ndarray:
+            s = rows @ q
+            top = s.max() - 40
+            own = s[np.arange(len(s)), at].astype(np.float64)
+            s -= top
+            if s.min() < -40:
+                # far apart: each row by its own greatest score
+                s = s.astype(np.float64)
+                most = s.max(axis=1, keepdims=True)
+                return own - top - most[:, 0] - np.log(np.exp(s - most).sum(axis=1))
+            return own - top - np.log(np.exp(s, out=s) @ np.ones(s.shape[1], np.float32), dtype=np.float64)
+
+        group = (target % self.groups).astype(np.uint16)
+        q = np.ascontiguousarray(np.c_[self.gq, self.gb].T)
+        for k in range(0, len(target), ROWS):
+            out[k : k + ROWS] = logs(h[k : k + ROWS], q, group[k : k + ROWS])
+        order = np.argsort(group, kind="stable")
+        cuts = np.searchsorted(group[order], np.arange(self.groups + 1))
+        for g in range(self.groups):
+            q = np.ascontiguousarray(np.c_[self.q[g :: self.groups], self.b[g :: self.groups]].T)
+            for k in range(cuts[g], cuts[g + 1], ROWS):
+                rows = order[k : min(k + ROWS, cuts[g + 1])]
+                out[rows] += logs(h[rows], q, target[rows] // self.groups)
+        return out / math.log(10)
+
+    def _step(self, name: str, rows: np.ndarray, grad: np.ndarray, rate: float) -> None:
+        own, past = getattr(self, name), self.past[name]
+        order = np.argsort(rows.astype(np.uint16) if len(own) < 1 << 16 else rows, kind="stable")
         rows = rows[order]
         at = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
         total, rows = np.add.reduceat(grad[order], at, axis=0), rows[at]
-        self.g[which][rows] += (total * total).mean(axis=1) if total.ndim == 2 else total * total
-        scale = rate / np.sqrt(self.g[which][rows])
-        table_[rows] += total * (scale[:, None] if total.ndim == 2 else scale)
+        past[rows] += (total * total).mean(axis=1) if total.ndim == 2 else total * total
+        scale = rate / np.sqrt(past[rows])
+        own[rows] += total * (scale[:, None] if total.ndim == 2 else scale)
 
-    def train(self, context: np.ndarray, target: np.ndarray, share: np.ndarray, rng: np.random.Generator, noise: int = NOISE, rate: float = RATE) -> None:
-        """One step of noise-contrastive estimation; the noise classes, drawn from share, serve the whole batch."""
+    def _contrast(self, q: str, b: str, h: np.ndarray, target: np.ndarray, share: np.ndarray, noise: int, rng: np.random.Generator, rate: float) -> np.ndarray:
+        """A step of noise-contrastive estimation on targets; the noise, drawn from share, serves the whole batch.  Gives the gradient of h."""
+        own, bias = getattr(self, q), getattr(self, b)
         drawn = np.searchsorted(np.cumsum(share), rng.random(noise) * share.sum()).clip(0, len(share) - 1)
         log_noise = np.log(share * noise).astype(np.float32)
-        h, w, x = self.r[context], self.q[target], self.q[drawn]
-        d = np.einsum("ij,ij->i", h, w) + self.b[target] - log_noise[target]
-        e = h @ x.T + (self.b[drawn] - log_noise[drawn])
-        true = 1 / (1 + np.exp(np.clip(d, -30, 30)))
-        false = 1 / (1 + np.exp(-np.clip(e, -30, 30)))
-        self._step(0, self.r, context, true[:, None] * w - false @ x, rate)
+        w, x = own[target], own[drawn]
+        true = 1 / (1 + np.exp(np.clip((h * w).sum(axis=1) + bias[target] - log_noise[target], -30, 30)))
+        false = h @ x.T
+        false += bias[drawn] - log_noise[drawn]
+        np.clip(false, -30, 30, out=false)
+        np.exp(np.negative(false, out=false), out=false)
+        false += 1
+        np.reciprocal(false, out=false)
+        grad = true[:, None] * w - false @ x
         targets = np.r_[target, drawn]
-        self._step(1, self.q, targets, np.concatenate([true[:, None] * h, -(false.T @ h)]), rate)
-        self._step(2, self.b, targets, np.r_[true, -false.sum(axis=0)], rate / 4)
+        self._step(q, targets, np.concatenate([true[:, None] * h, -(false.T @ h)]), rate)
+        self._step(b, targets, np.r_[true, -false.sum(axis=0)], rate / 4)
+        return grad
+
+    def train(self, context: np.ndarray, target: np.ndarray, rng: np.random.Generator, noise: tuple[int, int] = NOISE, rate: float = RATE) -> None:
+        vectors = [self.r[context[:, k]] for k in range(POSITIONS)]
+        h = sum(v * c for v, c in zip(vectors, self.c))
+        grad = self._contrast("q", "b", h, target, self.share, noise[0], rng, rate)
+        grad += self._contrast("gq", "gb", h, target % self.groups, self.group_share, noise[1], rng, rate)
+        by_position = np.stack([(v * grad).sum(axis=0) for v in vectors])
+        self._step("r", context.T.ravel(), np.concatenate([grad * c for c in self.c]), rate)
+        self._step("c", np.arange(POSITIONS), by_position, rate / 10)
 
 
 def train(docs: DataFrame, vocab: Vocabulary, dimensions: int = DIMENSIONS) -> Model:
@@ -184,42 +252,42 @@ def train(docs: DataFrame, vocab: Vocabulary, dimensions: int = DIMENSIONS) -> M
         v = taken(shared)
         model = Model(v.share, dimensions)
         rng = np.random.default_rng(17)
-        contexts, targets, held, seen = [], [], 0, 0
+        before, targets, held, seen = [], [], 0, 0
 
         def work(least: int) -> None:
-            nonlocal contexts, targets, held, seen
+            nonlocal before, targets, held, seen
             if held < least or not held:
                 return
-            c, t = np.concatenate(contexts), np.concatenate(targets)
+            c, t = np.concatenate(before), np.concatenate(targets)
             order = rng.permutation(len(c))
-            c, t = c[order], t[order]
             for k in range(0, len(c), BATCH):
-                model.train(c[k : k + BATCH], t[k : k + BATCH], v.share, rng)
+                some = order[k : k + BATCH]
+                model.train(c[some], t[some], rng)
             seen += len(c)
-            contexts, targets, held = [], [], 0
+            before, targets, held = [], [], 0
 
         for batch in sliced(batches, "text"):
-            for text in as_bytes(batch, "text"):
-                _, classes, _ = v.numbers(words_of(text))
-                contexts.append(np.r_[v.head, classes[:-1]].astype(np.int32))
-                targets.append(classes)
-                held += len(classes)
-                work(64 * BATCH)
+            own = [v.numbers(words_of(text))[1] for text in as_bytes(batch, "text")]
+            size = np.array([len(x) for x in own])
+            flat = np.concatenate(own)
+            before.append(contexts(flat, np.repeat(np.cumsum(size) - size, size), v.head))
+            targets.append(flat)
+            held += len(flat)
+            work(64 * BATCH)
         work(0)
         if seen:
-            both = np.concatenate([np.c_[model.r, np.zeros(len(model.b))], np.c_[model.q, model.b]]).astype(np.float64) * seen
             names = ["row", "weight", *(f"c{k}" for k in range(dimensions + 1))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(both))), pa.array(np.full(len(both), float(seen))), *(pa.array(np.ascontiguousarray(c)) for c in both.T)], names)
+            every = model.parameters() * seen
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(every))), pa.array(np.full(len(every), float(seen))), *(pa.array(np.ascontiguousarray(c)) for c in every.T)], names)
 
     kinds = "row long, weight double, " + ", ".join(f"c{k} double" for k in range(dimensions + 1))
     summed = docs.select("text").mapInArrow(run, kinds).groupBy("row").agg(F.sum("weight").alias("weight"), *(F.sum(f"c{k}").alias(f"c{k}") for k in range(dimensions + 1))).toArrow()
     model = Model(vocab.share, dimensions)
     if summed.num_rows:
         row, weight = summed.column("row").to_numpy(), summed.column("weight").to_numpy()
-        both = np.empty((2 * vocab.classes, dimensions + 1))
-        both[row] = np.stack([summed.column(f"c{k}").to_numpy() for k in range(dimensions + 1)], axis=1) / weight[:, None]
-        model.r, model.q, model.b = both[: vocab.classes, :-1].astype(np.float32), both[vocab.classes :, :-1].astype(np.float32), both[vocab.classes :, -1].astype(np.float32)
-    model.normalise()
+        every = np.empty((summed.num_rows, dimensions + 1))
+        every[row] = np.stack([summed.column(f"c{k}").to_numpy() for k in range(dimensions + 1)], axis=1) / weight[:, None]
+        model.take(every)
     return model
 
 
@@ -238,11 +306,15 @@ def score(docs: DataFrame, vocab: Vocabulary, model: Model, counted: DataFrame)
         for batch in sliced(batches, "text"):
             out: dict[str, list] = {k: [] for k in ("row", "word", "n", "own", "n_tokens", "n_known", "base", "score")}
             ids = []
-            for i, text in enumerate(as_bytes(batch, "text")):
-                known, classes, rest = v.numbers(words_of(text))
+            read = [v.numbers(words_of(text)) for text in as_bytes(batch, "text")]
+            size = np.array([len(x) for _, x, _ in read])
+            first = np.cumsum(size) - size
+            flat = np.concatenate([x for _, x, _ in read])
+            by_text = np.add.reduceat(m.log10(contexts(flat, np.repeat(first, size), v.head), flat), first).tolist()
+            for i, (known, classes, rest) in enumerate(read):
                 there = known >= 0
                 own = known[there]
-                total = float(m.log10(np.r_[v.head, classes[:-1]], classes).sum() + inside[own].sum())
+                total = by_text[i] + float(inside[own].sum())
                 if rest:
                     total -= float(v.bucket_log[classes[~there] - v.head - 1].sum())
                 base = float(log_count[own].sum()) - len(known) * v.log_base

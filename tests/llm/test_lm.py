@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from marlstone.llm import lm
-from marlstone.llm.lm import Model, count_words, log_bilinear_scores, op2_lm, remainder, score, train, vocabulary
+from marlstone.llm.lm import Model, bucket_of, count_words, log_bilinear_scores, op2_lm, remainder, score, train, vocabulary, words_of
 
 
 def brute(docs):
@@ -41,21 +41,51 @@ def test_probabilities_sum_to_one(spark):
     vocab = vocabulary(counted, 50, head=4, known=6)
     model = train(docs, vocab, 4)
     every = np.arange(vocab.classes)
-    for h in every:
-        assert abs((10 ** model.log10(np.full(len(every), h), every)).sum() - 1) < 1e-4
+    for context in np.random.default_rng(5).integers(0, vocab.classes, (20, lm.POSITIONS)):
+        assert abs((10 ** model.log10(np.repeat(context[None], len(every), axis=0), every)).sum() - 1) < 1e-4
     words = [bytes(r.word) for r in counted.collect()]
     ones = spark.createDataFrame([(k, w.decode()) for k, w in enumerate(words)], "id long, text string")
     assert score(ones, vocab, model, counted).count() == len(words)
 
 
-def test_noise_contrastive_steps_learn_a_bigram():
-    share = np.full(6, 1 / 6)
-    model, rng = Model(share, 8), np.random.default_rng(0)
-    for _ in range(300):
-        c = rng.integers(0, 6, 256)
-        model.train(c, (c + 1) % 6, share, rng)
-    model.normalise()
-    assert (10 ** model.log10(np.arange(6), (np.arange(6) + 1) % 6)).min() > 0.7
+def test_noise_contrastive_steps_learn_what_a_position_tells():
+    """The next class is told by the word before in half of the texts, by the third one before in the others."""
+    for place in (0, 2):
+        model, rng = Model(np.full(6, 1 / 6), 8), np.random.default_rng(0)
+        for _ in range(600):
+            c = rng.integers(0, 6, (256, 3))
+            model.train(c, (c[:, place] + 1) % 6, rng)
+        c = rng.integers(0, 6, (500, 3))
+        assert np.mean(10 ** model.log10(c, (c[:, place] + 1) % 6)) > 0.6
+
+
+def test_scores_against_a_direct_computation(spark):
+    """Every token's class probability over all classes, by a plain softmax in double precision."""
+    docs = spark.createDataFrame([(k, f"A b{k % 7} cc{k % 3} d {'rare' + str(k) if k % 4 == 0 else ''}") for k in range(60)] + [(60, None), (61, "")], "id long, text string")
+    counted = count_words(docs)
+    vocab = vocabulary(counted, 62, head=5, known=9)
+    model = train(docs, vocab, 4)
+    counts = {bytes(r.word): r.n for r in counted.collect()}
+    group = np.arange(vocab.classes) % model.groups
+    got = {r.id: r.score for r in score(docs, vocab, model, counted).collect()}
+    for r in docs.collect():
+        words, total, past = words_of((r.text or "").encode()), 0.0, [vocab.head] * 3
+        for w in [*words, None]:
+            known = vocab.index.get(w) if w is not None else vocab.end
+            k = int(vocab.of[known]) if known is not None else vocab.head + 1 + bucket_of(w, vocab.buckets)
+            h = sum(model.r[p].astype(float) * model.c[i] for i, p in enumerate(past))
+            e, g = np.exp(model.q @ h + model.b), np.exp(model.gq @ h + model.gb)
+            total += math.log10(g[group[k]] / g.sum() * e[k] / e[group == group[k]].sum())
+            if k > vocab.head:
+                total += math.log10((counts[w] + 0.1)) - vocab.bucket_log[k - vocab.head - 1]
+            past = [k, *past[:2]]
+        assert abs(got[r.id] - total) < 1e-3
+
+
+def test_ties_among_the_head_words(spark):
+    docs = spark.createDataFrame([(k, "b a d c e") for k in range(9)], "id long, text string")
+    v = vocabulary(count_words(docs), 9, head=3)
+    assert [w for w, i in sorted(v.index.items(), key=lambda x: x[1])] == [b"a", b"b", b"c", b"d", b"e"] and v.head == 3
 
 
 def test_odd_and_empty(spark, odd_dir, empty_dir):
