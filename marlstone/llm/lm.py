@@ -33,6 +33,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -100,16 +101,20 @@ class Vocabulary:
         self.log_base = math.log10(tokens + ADD * (distinct + 1)) if tokens else 0.0
         self.bucket_log = np.log10(bucket_n + ADD * (bucket_v + 1))
 
-    def numbers(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Of a text: each token's known number (-1: not known), its class, and the words that aren't known."""
+    def numbers(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """Of the tokens of some texts, one after the other: tokens in each text, known number (-1: not known), class, and the words that aren't known."""
+        words = [words_of(t) for t in texts]
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        known = np.full(size.sum(), self.end, np.int64)
+        inside = np.ones(len(known), bool)
+        inside[np.cumsum(size) - 1] = False
         get = self.index.get
-        known = np.array([get(w, -1) for w in words] + [self.end], np.int64)
+        known[inside] = np.fromiter(map(get, chain.from_iterable(words), repeat(-1)), np.int64, len(known) - len(words))
         classes = self.of[known]
-        missing = np.flatnonzero(known < 0)
-        rest = [words[i] for i in missing.tolist()]
+        rest = list(compress(chain.from_iterable(words), (known[inside] < 0).tolist()))
         if rest:
-            classes[missing] = [self.head + 1 + bucket_of(w, self.buckets) for w in rest]
-        return known, classes, rest
+            classes[known < 0] = [self.head + 1 + bucket_of(w, self.buckets) for w in rest]
+        return size, known, classes, rest
 
 
 def vocabulary(counted: DataFrame, texts: int, head: int = HEAD, known: int = KNOWN, buckets: int = BUCKETS) -> Vocabulary:
@@ -210,7 +215,7 @@ class Model:
         rows = rows[order]
         at = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
         total, rows = np.add.reduceat(grad[order], at, axis=0), rows[at]
-        past[rows] += (total * total).mean(axis=1) if total.ndim == 2 else total * total
+        past[rows] += (total * total) @ np.full(total.shape[1], 1 / total.shape[1], np.float32) if total.ndim == 2 else total * total
         scale = rate / np.sqrt(past[rows])
         own[rows] += total * (scale[:, None] if total.ndim == 2 else scale)
 
@@ -220,7 +225,7 @@ class Model:
         drawn = np.searchsorted(np.cumsum(share), rng.random(noise) * share.sum()).clip(0, len(share) - 1)
         log_noise = np.log(share * noise).astype(np.float32)
         w, x = own[target], own[drawn]
-        true = 1 / (1 + np.exp(np.clip((h * w).sum(axis=1) + bias[target] - log_noise[target], -30, 30)))
+        true = 1 / (1 + np.exp(np.clip((h * w) @ np.ones(h.shape[1], np.float32) + bias[target] - log_noise[target], -30, 30)))
         false = h @ x.T
         false += bias[drawn] - log_noise[drawn]
         np.clip(false, -30, 30, out=false)
@@ -267,9 +272,7 @@ def train(docs: DataFrame, vocab: Vocabulary, dimensions: int = DIMENSIONS) -> M
             before, targets, held = [], [], 0
 
         for batch in sliced(batches, "text"):
-            own = [v.numbers(words_of(text))[1] for text in as_bytes(batch, "text")]
-            size = np.array([len(x) for x in own])
-            flat = np.concatenate(own)
+            size, _, flat, _ = v.numbers(as_bytes(batch, "text"))
             before.append(contexts(flat, np.repeat(np.cumsum(size) - size, size), v.head))
             targets.append(flat)
             held += len(flat)
@@ -306,27 +309,29 @@ def score(docs: DataFrame, vocab: Vocabulary, model: Model, counted: DataFrame)
         for batch in sliced(batches, "text"):
             out: dict[str, list] = {k: [] for k in ("row", "word", "n", "own", "n_tokens", "n_known", "base", "score")}
             ids = []
-            read = [v.numbers(words_of(text)) for text in as_bytes(batch, "text")]
-            size = np.array([len(x) for _, x, _ in read])
+            size, known, flat, unknown = v.numbers(as_bytes(batch, "text"))
             first = np.cumsum(size) - size
-            flat = np.concatenate([x for _, x, _ in read])
-            by_text = np.add.reduceat(m.log10(contexts(flat, np.repeat(first, size), v.head), flat), first).tolist()
-            for i, (known, classes, rest) in enumerate(read):
-                there = known >= 0
-                own = known[there]
-                total = by_text[i] + float(inside[own].sum())
-                if rest:
-                    total -= float(v.bucket_log[classes[~there] - v.head - 1].sum())
-                base = float(log_count[own].sum()) - len(known) * v.log_base
+            begin = np.repeat(first, size)
+            there = known >= 0
+            log_model = m.log10(contexts(flat, begin, v.head), flat)
+            log_model[there] += inside[known[there]]
+            log_model[~there] -= v.bucket_log[flat[~there] - v.head - 1]
+            log_own = np.where(there, log_count[known], 0.0)
+            by_text = [np.add.reduceat(x, first).tolist() for x in (log_model, log_own, (there & (v.counts[known] > 0)).astype(np.int64), (~there).astype(np.int64))]
+            at = 0
+            for i, (total, own, n_known, n_rest) in enumerate(zip(*by_text)):
+                rest, at = unknown[at : at + n_rest], at + n_rest
+                tokens = int(size[i])
+                base = own - tokens * v.log_base
                 counts = Counter(rest)
-                size = 1 + len(counts)
-                ids += [i] * size
-                out["row"] += [row] * size
+                parts_ = 1 + len(counts)
+                ids += [i] * parts_
+                out["row"] += [row] * parts_
                 out["word"] += [b" %d" % row, *counts.keys()]
                 out["n"] += [0, *counts.values()]
-                out["own"] += [True, *[False] * (size - 1)]
-                for k, x in (("n_tokens", len(known)), ("n_known", int((v.counts[own] > 0).sum())), ("base", base), ("score", total)):
-                    out[k] += [x, *[None] * (size - 1)]
+                out["own"] += [True, *[False] * (parts_ - 1)]
+                for k, x in (("n_tokens", tokens), ("n_known", n_known), ("base", base), ("score", total)):
+                    out[k] += [x, *[None] * (parts_ - 1)]
                 row += 1
             types = {"row": pa.int64(), "word": pa.binary(), "n": pa.int64(), "own": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64()}
             lead = batch.column("id").take(pa.array(ids, pa.int64()))
