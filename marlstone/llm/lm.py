@@ -173,7 +173,7 @@ class Model:
         self.r, self.q, self.b, self.gq, self.gb, self.c = r[:, :-1].copy(), q[:, :-1].copy(), q[:, -1].copy(), gq[:, :-1].copy(), gq[:, -1].copy(), c[:, :-1].copy()
 
     def predict(self, context: np.ndarray) -> np.ndarray:
-        return sum(self.r[context[:, k]] * self.c[k] for k in range(POSITIONS))
+        return sum(self.r.take(context[:, k], axis=0) * self.c[k] for k in range(POSITIONS))
 
     def log10(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Normalised log10 probabilities of targets after contexts."""
@@ -214,7 +214,7 @@ class Model:
         order = np.argsort(rows.astype(np.uint16) if len(own) < 1 << 16 else rows, kind="stable")
         rows = rows[order]
         at = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-        total, rows = np.add.reduceat(grad[order], at, axis=0), rows[at]
+        total, rows = np.add.reduceat(grad.take(order, axis=0), at, axis=0), rows[at]
         past[rows] += (total * total) @ np.full(total.shape[1], 1 / total.shape[1], np.float32) if total.ndim == 2 else total * total
         scale = rate / np.sqrt(past[rows])
         own[rows] += total * (scale[:, None] if total.ndim == 2 else scale)
@@ -224,7 +224,7 @@ class Model:
         own, bias = getattr(self, q), getattr(self, b)
         drawn = np.searchsorted(np.cumsum(share), rng.random(noise) * share.sum()).clip(0, len(share) - 1)
         log_noise = np.log(share * noise).astype(np.float32)
-        w, x = own[target], own[drawn]
+        w, x = own.take(target, axis=0), own[drawn]
         true = 1 / (1 + np.exp(np.clip((h * w) @ np.ones(h.shape[1], np.float32) + bias[target] - log_noise[target], -30, 30)))
         false = h @ x.T
         false += bias[drawn] - log_noise[drawn]
@@ -232,19 +232,27 @@ class Model:
         np.exp(np.negative(false, out=false), out=false)
         false += 1
         np.reciprocal(false, out=false)
-        grad = true[:, None] * w - false @ x
+        true, both = true.astype(np.float32)[:, None], np.empty((len(target) + noise, h.shape[1]), np.float32)
+        np.multiply(true, h, out=both[: len(target)])
+        both[len(target) :] = -(h.T @ false).T
+        grad = true * w
+        grad -= false @ x
         targets = np.r_[target, drawn]
-        self._step(q, targets, np.concatenate([true[:, None] * h, -(false.T @ h)]), rate)
-        self._step(b, targets, np.r_[true, -false.sum(axis=0)], rate / 4)
+        self._step(q, targets, both, rate)
+        self._step(b, targets, np.r_[true[:, 0], -(np.ones(len(target), np.float32) @ false)], rate / 4)
         return grad
 
     def train(self, context: np.ndarray, target: np.ndarray, rng: np.random.Generator, noise: tuple[int, int] = NOISE, rate: float = RATE) -> None:
-        vectors = [self.r[context[:, k]] for k in range(POSITIONS)]
+        vectors = [self.r.take(context[:, k], axis=0) for k in range(POSITIONS)]
         h = sum(v * c for v, c in zip(vectors, self.c))
         grad = self._contrast("q", "b", h, target, self.share, noise[0], rng, rate)
         grad += self._contrast("gq", "gb", h, target % self.groups, self.group_share, noise[1], rng, rate)
-        by_position = np.stack([(v * grad).sum(axis=0) for v in vectors])
-        self._step("r", context.T.ravel(), np.concatenate([grad * c for c in self.c]), rate)
+        one = np.ones(len(target), np.float32)
+        by_position = np.stack([one @ (v * grad) for v in vectors])
+        each = np.empty((POSITIONS, *grad.shape), np.float32)
+        for k, c in enumerate(self.c):
+            np.multiply(grad, c, out=each[k])
+        self._step("r", context.T.ravel(), each.reshape(-1, grad.shape[1]), rate)
         self._step("c", np.arange(POSITIONS), by_position, rate / 10)
 
 
