@@ -29,3 +29,23 @@ def islands(df: DataFrame, keys: Sequence[str], number: str) -> DataFrame:
     w = W.partitionBy(*keys).orderBy(number)
     marked = df.select(*keys, number).distinct().withColumn("_island", F.col(number) - F.row_number().over(w))
     return marked.groupBy(*keys, "_island").agg(F.min(number).alias("first"), F.max(number).alias("last"), F.count("*").alias("size")).drop("_island")
+
+
+def global_rank(df: DataFrame, order: Sequence[Column | str], name: str, path: str) -> DataFrame:
+    """rank() over all rows without gathering them: ranges of the order are ranked each by itself, after the counts of those before.
+
+    path: a new shared folder; the ranges are written there once, so that counts
+    and ranks see the same ones.  Equal keys fall into one range.
+    """
+    spark = df.sparkSession
+    df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.parquet(path)
+    # one row a range, of which there are as many as shuffle partitions
+    counts = {r["_range"]: r["n"] for r in dealt.groupBy("_range").agg(F.count("*").alias("n")).collect()}
+    before, total = [], 0
+    for k in sorted(counts):
+        before.append((k, total))
+        total += counts[k]
+    offsets = spark.createDataFrame(before, "_range int, _before long")
+    within = F.rank().over(W.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn(name, within).join(F.broadcast(offsets), "_range").withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_range", "_before")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,16 +11,10 @@ from marlstone.functions import udf
 from marlstone.plans.registry import query
 from marlstone.services import statements
 from marlstone.sources import sinks
-from marlstone.sources.readers import files, table
+from marlstone.sources.readers import files, shared, table
 from marlstone.streaming import pipeline as streams
 
 
-def shared(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared one that the cluster names, or a local one where none is named."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "marlstone-shared")
-    return f"{top.rstrip('/')}/engine/{name}-{uuid.uuid4().hex}"
-
-
 def event_stream(spark: SparkSession, sf_dir: str, delay: str = "1 day") -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     return streams.timed(streams.read_files(spark, f"{sf_dir}/events*.parquet", schema), "ts", delay)

@@ -6,7 +6,9 @@ import threading
 import time
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 class Statements:
@@ -22,9 +24,13 @@ class Statements:
 
         def run() -> None:
             try:
-                self.spark.addTag(key)
-                state["result"] = self.spark.sql(text).limit(self.rows).toArrow()
-                state["state"] = "FINISHED"
+                self.spark.sparkContext.addJobTag(key)
+                df = self.spark.sql(text).limit(self.rows)
+                # collect() runs in this thread, which has the tag; Arrow's way would run in another
+                rows, schema = df.collect(), to_arrow_schema(df.schema)
+                result = pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], names=df.columns)
+                if state["state"] == "RUNNING":
+                    state["result"], state["state"] = result, "FINISHED"
             except Exception as e:  # noqa: BLE001 - reported to the caller through the state
                 if state["state"] == "RUNNING":
                     state["state"], state["error"] = "FAILED", str(e)
@@ -51,7 +57,14 @@ class Statements:
     def cancel(self, key: str) -> None:
         if self.kept[key]["state"] == "RUNNING":
             self.kept[key]["state"] = "CANCELLED"
-            self.spark.interruptTag(key)
+
+            def stop() -> None:
+                # a job that starts after the first interrupt must end too
+                while self.kept[key]["thread"].is_alive():
+                    self.spark.sparkContext.cancelJobsWithTag(key)
+                    time.sleep(0.2)
+
+            threading.Thread(target=stop, daemon=True).start()
 
 
 def catalogs(spark: SparkSession) -> DataFrame:

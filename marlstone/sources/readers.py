@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
+import uuid
 from collections.abc import Iterable, Sequence
 from typing import Any
 
@@ -19,6 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one that the cluster names; a local one only where none is named and Spark runs in one process."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(top or os.path.join(tempfile.gettempdir(), 'marlstone-shared')).rstrip('/')}/engine/{name}-{uuid.uuid4().hex}"
+
+
 def named(spark: SparkSession, name: str) -> DataFrame:
     """A table or view by its name, qualified or not."""
     return spark.table(name)
@@ -48,10 +60,8 @@ def sequence(spark: SparkSession, start: int, end: int, step: int = 1, partition
     return spark.range(start, end, step, partitions)
 
 
-def register(spark: SparkSession, name: str, df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Name a frame; rows: a known row count, kept as a hint that it is small enough to broadcast."""
-    if rows is not None and rows <= 10_000:
-        df = df.hint("broadcast")
+def register(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
+    """Name a frame; whether it is broadcast is left to the sizes that Spark knows."""
     df.createOrReplaceTempView(name)
     return df
 

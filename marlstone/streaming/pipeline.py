@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 
 def read_files(spark: SparkSession, path: str, schema: Any, fmt: str = "parquet", per_trigger: int | None = None, **options: Any) -> DataFrame:
@@ -53,6 +55,20 @@ def interval_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner"
     return left.join(right, F.expr(on), how)
 
 
+def running_totals(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, n, total) so far of each key that a batch touches, by state kept for each key."""
+
+    def step(keys: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, total = state.get if state.exists else (0, 0.0)
+        for part in parts:
+            n, total = n + len(part), total + float(part[value].sum())
+        state.update((n, total))
+        yield pd.DataFrame({key: [keys[0]], "n": [n], "total": [total]})
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, n long, total double", "n long, total double", "update", "NoTimeout")
+
+
 def write(df: DataFrame, checkpoint: str, fmt: str = "parquet", path: str | None = None, name: str | None = None, mode: str = "append", every: str | None = None, each: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Start a query; every=None takes what is there and stops, and a restart resumes from the checkpoint."""
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)

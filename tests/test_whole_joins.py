@@ -22,13 +22,13 @@ def test_equi_joins(spark, sf_dir, read, how):
         want.update((c, None) for c in customers - {c for c, _ in orders})
     if how in ("right", "full"):
         want.update((None, o) for c, o in orders if c not in customers)
-    assert Counter(map(tuple, QUERIES[f"join_{how}_whole"](spark, sf_dir).collect())) == want and len(want) >= len(orders)
+    assert Counter(map(tuple, QUERIES[f"join_{how}"](spark, sf_dir).collect())) == want and len(want) >= len(orders)
 
 
 def test_null_safe_join(spark, sf_dir, read):
     events = read("events", "event_id", "user_id")
     a, b = (Counter(None if e < low else u for e, u in events) for low in (5, 3))
-    assert QUERIES["join_null_safe_whole"](spark, sf_dir).first().n == sum(n * b[u] for u, n in a.items())
+    assert QUERIES["join_null_safe"](spark, sf_dir).first().n == sum(n * b[u] for u, n in a.items())
 
 
 def test_range_join(spark, sf_dir, read):
@@ -36,4 +36,4 @@ def test_range_join(spark, sf_dir, read):
     for part, size in read("part", "p_partkey", "p_size"):
         if own := [e for e, v in events if v is not None and size <= v < size + 0.05]:
             want[part] = (len(own), sum(own))
-    assert {r.p_partkey: (r.n, r.ids) for r in QUERIES["join_range_whole"](spark, sf_dir).collect()} == want
+    assert {r.p_partkey: (r.n, r.ids) for r in QUERIES["join_range"](spark, sf_dir).collect()} == want
