@@ -41,4 +41,4 @@ def both(name: str, tables: str, spark_sql: str, oracle: str | None = None) -> N
 
 def load() -> None:
     """Import the modules that register queries."""
-    from marlstone.plans import aggregations, engines, frames, relational, scalars, services, tpch  # noqa: F401
+    from marlstone.plans import aggregations, engines, frames, relational, scalars, services, shapes, tpch  # noqa: F401
