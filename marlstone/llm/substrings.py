@@ -49,15 +49,35 @@ BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
 class Hashes(dict):
-    """XXH64 of each word, kept up to a bound."""
+    """Numbers of words and, by number, their XXH64; the first MOST words stay, others count for one text only."""
 
-    def __missing__(self, word: bytes) -> int:
+    MOST = 300_000
+
+    def __init__(self) -> None:
         from xxhash import xxh64_intdigest
 
-        value = xxh64_intdigest(word, 1)
-        if len(self) < 300_000:
-            self[word] = value
-        return value
+        self.digest = xxh64_intdigest
+        self.kept = np.zeros(self.MOST, np.uint64)
+        self.others: list[int] = []
+
+    def __missing__(self, word: bytes) -> int:
+        number = len(self)
+        if number < self.MOST:
+            self[word] = number
+            self.kept[number] = self.digest(word, 1)
+            return number
+        self.others.append(self.digest(word, 1))
+        return self.MOST - 1 + len(self.others)
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        numbers = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        if not self.others:
+            return self.kept[numbers]
+        out, others = np.empty(len(numbers), np.uint64), np.array(self.others, np.uint64)
+        self.others = []
+        here = numbers < self.MOST
+        out[here], out[~here] = self.kept[numbers[here]], others[numbers[~here] - self.MOST]
+        return out
 
 
 def mixed(x: np.ndarray, seed: int) -> np.ndarray:
@@ -160,11 +180,10 @@ def stretches(words: np.ndarray, count: np.ndarray, window: int = WINDOW) -> tup
         at, who = at[won], who[won]
         first = np.full(n, n)
         np.minimum.at(first, at, level.start[who])
-        done = np.unique(at)
-        place[done] = first[done]
+        place[at] = first[at]
         lead = level.start[who] == first[at]
         symbol[at[lead]] = level.name[who[lead]]
-        open_[done] = False
+        open_[at] = False
     starts = np.flatnonzero(valid)
     new = np.r_[True, (np.diff(starts) > 1) | (place[starts[1:]] != place[starts[:-1]]) | (symbol[starts[1:]] != symbol[starts[:-1]]) | (doc[starts[1:]] != doc[starts[:-1]])] if len(starts) else np.zeros(0, bool)
     at = np.flatnonzero(new)
@@ -175,17 +194,13 @@ def stretches(words: np.ndarray, count: np.ndarray, window: int = WINDOW) -> tup
     return doc[lo], lo - begin[doc[lo]], many, symbol[lo], whole
 
 
-def _number(words: list[bytes], hashes: Hashes) -> np.ndarray:
-    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-
-
 def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     """(row, lo, n): windows lo .. lo + n - 1 of that row start elsewhere too.  rows: (row, id, text)."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch in sliced(batches, "text", 2 << 20):
-            own = [_number(t.split(), hashes) for t in as_bytes(batch, "text")]
+            own = [hashes.of(t.split()) for t in as_bytes(batch, "text")]
             count = np.array([len(x) for x in own], np.int64)
             doc, lo, n, symbol, whole = stretches(np.concatenate(own) if own else np.zeros(0, np.uint64), count, window)
             yield pa.RecordBatch.from_arrays(
@@ -212,7 +227,7 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
         for batch in sliced(batches, "text", 2 << 20):
             rows_, at, symbols, weights, values = [], [], [], [], []
             for row, text, own in zip(batch.column("row").to_pylist(), as_bytes(batch, "text"), batch.column("asked").to_pylist()):
-                words = _number(text.split(), hashes)
+                words = hashes.of(text.split())
                 prefix = prefix_hashes(words)
                 lo, n = np.array([x["lo"] for x in own]), np.array([x["n"] for x in own])
                 a = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
