@@ -48,36 +48,40 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
-class Hashes(dict):
-    """Numbers of words and, by number, their XXH64; the first MOST words stay, others count for one text only."""
-
-    MOST = 300_000
-
-    def __init__(self) -> None:
-        from xxhash import xxh64_intdigest
-
-        self.digest = xxh64_intdigest
-        self.kept = np.zeros(self.MOST, np.uint64)
-        self.others: list[int] = []
-
-    def __missing__(self, word: bytes) -> int:
-        number = len(self)
-        if number < self.MOST:
-            self[word] = number
-            self.kept[number] = self.digest(word, 1)
-            return number
-        self.others.append(self.digest(word, 1))
-        return self.MOST - 1 + len(self.others)
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        numbers = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
-        if not self.others:
-            return self.kept[numbers]
-        out, others = np.empty(len(numbers), np.uint64), np.array(self.others, np.uint64)
-        self.others = []
-        here = numbers < self.MOST
-        out[here], out[~here] = self.kept[numbers[here]], others[numbers[~here] - self.MOST]
-        return out
+#: Words longer than this are hashed one by one.
+LONG_WORD = 256
+BLANK = np.array([c in b" \t\n\v\f\r" for c in range(256)])
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of some texts, one after the other, and the words in each.
+
+    All words take in their next byte at once, the longest ones last.
+    """
+    from xxhash import xxh64_intdigest
+
+    raw = b"\n".join([b"", *texts, b""])
+    byte = np.frombuffer(raw, np.uint8)
+    edge = np.flatnonzero(np.diff(BLANK[byte].astype(np.int8)))
+    start, stop = edge[::2] + 1, edge[1::2] + 1
+    begin = np.cumsum([1, *(len(t) + 1 for t in texts)])
+    count = np.diff(np.searchsorted(start, begin))
+    size = stop - start
+    order = np.argsort(-np.minimum(size, LONG_WORD + 1).astype(np.int16), kind="stable")
+    at, sorted_size = start[order], size[order]
+    h = sorted_size.astype(np.uint64) * BASE
+    longer = len(at) - np.searchsorted(sorted_size[::-1], np.arange(min(LONG_WORD, int(sorted_size[0])) if len(at) else 0), "right")
+    table = mixed(np.arange(256, dtype=np.uint64), 11)
+    for k, n in enumerate(longer.tolist()):
+        now = h[:n]
+        now ^= table[byte[at[:n] + k]]
+        now *= np.uint64(0xFF51AFD7ED558CCD)
+        now ^= now >> np.uint64(32)
+    out = np.empty(len(h), np.uint64)
+    out[order] = mixed(h, 12)
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = xxh64_intdigest(raw[start[i] : stop[i]], 1)
+    return out, count
 
 
 def mixed(x: np.ndarray, seed: int) -> np.ndarray:
@@ -198,11 +202,9 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     """(row, lo, n): windows lo .. lo + n - 1 of that row start elsewhere too.  rows: (row, id, text)."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for batch in sliced(batches, "text", 2 << 20):
-            own = [hashes.of(t.split()) for t in as_bytes(batch, "text")]
-            count = np.array([len(x) for x in own], np.int64)
-            doc, lo, n, symbol, whole = stretches(np.concatenate(own) if own else np.zeros(0, np.uint64), count, window)
+            words, count = word_hashes(as_bytes(batch, "text"))
+            doc, lo, n, symbol, whole = stretches(words, count, window)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row").take(pa.array(doc, pa.int64())), pa.array(lo, pa.int32()), pa.array(n, pa.int32()), pa.array(symbol.view(np.int64)), pa.array(whole.view(np.int64))],
                 ["row", "lo", "n", "symbol", "whole"],
@@ -223,24 +225,19 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     asked = differ.groupBy("row").agg(F.collect_list(F.struct("symbol", "weight", "lo", "n")).alias("asked"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for batch in sliced(batches, "text", 2 << 20):
-            rows_, at, symbols, weights, values = [], [], [], [], []
-            for row, text, own in zip(batch.column("row").to_pylist(), as_bytes(batch, "text"), batch.column("asked").to_pylist()):
-                words = hashes.of(text.split())
-                prefix = prefix_hashes(words)
-                lo, n = np.array([x["lo"] for x in own]), np.array([x["n"] for x in own])
-                a = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                values.append(span_hash(prefix, a, a + window))
-                rows_.append(np.full(len(a), row))
-                at.append(a)
-                symbols.append(np.repeat(np.array([x["symbol"] for x in own], np.int64), n))
-                weights.append(np.repeat(np.array([x["weight"] for x in own], np.int32), n))
-            if rows_:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x), t) for x, t in ((rows_, pa.int64()), (at, pa.int32()), (symbols, pa.int64()), (weights, pa.int32()), ([v.view(np.int64) for v in values], pa.int64()))],
-                    ["row", "lo", "symbol", "weight", "words"],
-                )
+            words, count = word_hashes(as_bytes(batch, "text"))
+            prefix, begin = prefix_hashes(words), np.cumsum(count) - count
+            column = batch.column("asked")
+            of_row, own = np.repeat(np.arange(batch.num_rows), column.value_lengths().to_numpy()), column.flatten()
+            symbol, weight, lo, n = (own.field(k).to_numpy() for k in ("symbol", "weight", "lo", "n"))
+            at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            doc = np.repeat(of_row, n)
+            value = span_hash(prefix, begin[doc] + at, begin[doc] + at + window)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row").take(pa.array(doc)), pa.array(at, pa.int32()), pa.array(np.repeat(symbol, n)), pa.array(np.repeat(weight, n)), pa.array(value.view(np.int64))],
+                ["row", "lo", "symbol", "weight", "words"],
+            )
 
     compared = scratch(rows.select("row", "text").join(asked, "row").mapInArrow(windows, "row long, lo int, symbol long, weight int, words long"), "substrings-windows")
     release(spark)
