@@ -198,8 +198,8 @@ def stretches(words: np.ndarray, count: np.ndarray, window: int = WINDOW) -> tup
     return doc[lo], lo - begin[doc[lo]], many, symbol[lo], whole
 
 
-def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(row, lo, n): windows lo .. lo + n - 1 of that row start elsewhere too.  rows: (row, id, text)."""
+def repeated_windows(rows: DataFrame, window: int = WINDOW) -> tuple[DataFrame, list[DataFrame]]:
+    """(row, lo, n): windows lo .. lo + n - 1 of that row start elsewhere too, and the tables it is read from.  rows: (row, id, text)."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", 2 << 20):
@@ -243,13 +243,16 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     release(spark)
     again = scratch(compared.groupBy("symbol", "words").agg(F.sum("weight").alias("w")).where("w > 1").select("symbol", "words"), "substrings-again")
     single = compared.where("weight = 1").join(again, ["symbol", "words"], "left_semi").select("row", "lo", F.lit(1).alias("n"))
-    return verified.unionByName(single)
+    return verified.unionByName(single), [candidates, kinds, several, compared, again]
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(id, n_words, n_removed, kept): kept has the words that stay, joined by single spaces."""
     rows = with_row(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-    spans = scratch(repeated_windows(rows, window).groupBy("row").agg(F.collect_list(F.struct("lo", "n")).alias("spans")), "substrings-spans")
+    found, tables = repeated_windows(rows, window)
+    spans = scratch(found.groupBy("row").agg(F.collect_list(F.struct("lo", "n")).alias("spans")), "substrings-spans")
+    for t in tables:
+        forget(t)
     release(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
