@@ -43,6 +43,8 @@ from .common import as_bytes, forget, release, scratch, sliced, table, with_row
 
 WINDOW = 35
 ROUNDS = 14
+#: Bytes of text parsed at a time.
+SLICE = 1 << 19
 FAR = np.int64(1) << 60
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -202,7 +204,7 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
     """(row, lo, n): windows lo .. lo + n - 1 of that row start elsewhere too, and the tables it is read from.  rows: (row, id, text)."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text", 2 << 20):
+        for batch in sliced(batches, "text", SLICE):
             words, count = word_hashes(as_bytes(batch, "text"))
             doc, lo, n, symbol, whole = stretches(words, count, window)
             yield pa.RecordBatch.from_arrays(
@@ -225,7 +227,7 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
     asked = differ.groupBy("row").agg(F.collect_list(F.struct("symbol", "weight", "lo", "n")).alias("asked"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text", 2 << 20):
+        for batch in sliced(batches, "text", SLICE):
             words, count = word_hashes(as_bytes(batch, "text"))
             prefix, begin = prefix_hashes(words), np.cumsum(count) - count
             column = batch.column("asked")
