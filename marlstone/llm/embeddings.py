@@ -5,9 +5,10 @@ give each vector a home list; it also probes every list that lies within half
 the angle of `cosine` behind the plane between the two centroids (`probed`).  Of
 two vectors within that angle on either side of such a plane, one is within
 half of it, so every pair of any data meets.  In a list, homes are kept as codes of
-their residual's subspaces; tables of the products of every code with a batch of
-queries give asymmetric estimates by look-up, a row of the batch at a time.  As the length of what a code leaves out is known,
-|q.x - q.x^| is bounded by it, so the filter loses no pair that meets, and
+their residual's subspaces; the product of what the codes stand for with a batch of
+queries gives asymmetric estimates.  As the angle between a home and what its codes
+stand for is known, the angle from there to a linked query is at most that plus the
+angle of `cosine` (`reach`), so the filter loses no pair that meets, and
 an exact cosine in double precision decides.  Every pair is decided in one list
 only, so link counts are the same from both sides.  A list gives back counts and
 links to a local representative, never all pairs; star contraction joins them.
@@ -123,23 +124,30 @@ class Index:
         self.parts = np.array_split(np.arange(sample.shape[1]), min(subspaces, sample.shape[1]))
         self.codes = [k_means(np.ascontiguousarray(residual[:, p]), codes, 5, rng) for p in self.parts]
 
-    def encode(self, residual: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of residuals and the length of what they leave out."""
-        out, left = np.empty((len(residual), len(self.parts)), np.int32), np.zeros(len(residual))
+    def encode(self, residual: np.ndarray) -> np.ndarray:
+        """Codes of residuals."""
+        out = np.empty((len(residual), len(self.parts)), np.int32)
         for j, p in enumerate(self.parts):
-            r, c = residual[:, p], self.codes[j]
-            out[:, j] = ((c * c).sum(axis=1) - 2 * (r @ c.T)).argmin(axis=1)
-            left += ((r - c[out[:, j]]) ** 2).sum(axis=1)
-        return out, np.sqrt(left)
-
-    def estimate(self, queries: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric estimates of home . query, in single precision, by table look-ups: a row for each home."""
-        total = np.empty((len(codes), len(queries)), np.float32)
-        total[:] = queries @ self.coarse[which]
-        for j, p in enumerate(self.parts):
-            of_code = (self.codes[j] @ queries[:, p].T).astype(np.float32)
-            total += of_code.take(codes[:, j], axis=0)
-        return total
+            c = self.codes[j]
+            out[:, j] = ((c * c).sum(axis=1) - 2 * (residual[:, p] @ c.T)).argmin(axis=1)
+        return out
+
+    def decode(self, which: int, codes: np.ndarray) -> np.ndarray:
+        """What the codes of homes of a list stand for."""
+        return self.coarse[which] + np.concatenate([c[codes[:, j]] for j, c in enumerate(self.codes)], axis=1)
+
+
+def reach(x: np.ndarray, guess: np.ndarray, cosine: float) -> np.ndarray:
+    """The least product with guess, in single precision, of any unit vector whose cosine with x is `cosine` or more.
+
+    Angles obey the triangle inequality: such a vector is no farther from guess than x is, plus the angle of `cosine`.
+    """
+    size = np.sqrt((guess * guess).sum(axis=1))
+    off = np.arccos(np.clip((x * guess).sum(axis=1) / np.maximum(size, 1e-300), -1, 1))
+    angle = off + np.arccos(np.clip(cosine, -1, 1))
+    # what rounding to single precision can take away
+    slack = 1e-5 + (x.shape[1] + 2) * 2.0**-23 * size
+    return np.where((angle < np.pi) & (size > 1e-9), size * np.cos(angle) - slack, -np.inf).astype(np.float32)
 
 
 def deal(routed: DataFrame, counts: DataFrame, block: int) -> DataFrame:
@@ -215,11 +223,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             flat, at = probes.flatten().to_numpy(), probes.offsets.to_numpy()
             lists = len(idx.coarse)
             again = np.unique(np.repeat(np.arange(len(inside)), np.diff(at)) * lists + flat)
-            codes, left = idx.encode(x[inside] - idx.coarse[which])
-            least = (cosine - 1e-5 - left).astype(np.float32)[:, None]
+            guess = idx.decode(which, idx.encode(x[inside] - idx.coarse[which]))
+            least = reach(x[inside], guess, cosine)[:, None]
+            guess = guess.astype(np.float32)
         for a in range(0, len(asking), QUERIES) if len(inside) else ():
             q = asking[a : a + QUERIES]
-            to, who = np.nonzero(idx.estimate(x[q], which, codes) >= least)
+            to, who = np.nonzero(guess @ x[q].T.astype(np.float32) >= least)
             who, other = q[who], inside[to]
             # two homes of one list meet twice, in the order of their nodes only once
             ok = np.where(home[who] == which, node[who] < node[other], home[who] > which)

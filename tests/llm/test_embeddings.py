@@ -1,6 +1,6 @@
 import numpy as np
 
-from marlstone.llm.embeddings import near_duplicates, op6_embeddings, probed
+from marlstone.llm.embeddings import Index, near_duplicates, op6_embeddings, probed, reach
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -90,3 +90,36 @@ def test_blocks_and_list_counts_lose_nothing(spark):
     for per_list, block in ((20, 16), (100, 60), (1000, 33)):
         got = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), per_list=per_list, block=block).collect()
         assert sorted((r.vec_id, r.n_links, r.component, r.vec_id == r.component) for r in got) == want
+
+
+def test_the_filter_of_a_list_loses_no_pair_and_passes_few_others():
+    """The length of what codes leave out, as a bound, passes over ten times as many pairs of these vectors."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal(x.shape)
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    y = 0.9000001 * x + np.sqrt(1 - 0.9000001**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    index = Index(x, 8)
+    home = (x @ index.coarse.T).argmax(axis=1)
+    passed = before = 0
+    for which in range(8):
+        own = np.flatnonzero(home == which)
+        guess = index.decode(which, index.encode(x[own] - index.coarse[which]))
+        products = guess.astype(np.float32) @ y.T.astype(np.float32)
+        found = products >= reach(x[own], guess, 0.9)[:, None]
+        assert found[np.arange(len(own)), own].all()
+        # a query in the plane of a home and its guess, on the guess's far side, is as near the bound as one can be
+        for worst in (x[own] - guess, guess - x[own]):
+            worst -= (worst * x[own]).sum(axis=1, keepdims=True) * x[own]
+            z = 0.9000001 * x[own] + np.sqrt(1 - 0.9000001**2) * worst / np.linalg.norm(worst, axis=1, keepdims=True)
+            assert ((guess.astype(np.float32) * z.astype(np.float32)).sum(axis=1) >= reach(x[own], guess, 0.9)).all()
+        passed += found.sum()
+        before += (products >= 0.9 - 1e-5 - np.linalg.norm(x[own] - guess, axis=1)[:, None]).sum()
+    assert 10 * (passed - len(x)) < before - len(x)
+
+
+def test_reach_of_guesses_that_tell_nothing():
+    x = np.eye(3)
+    assert (reach(x, np.zeros((3, 3)), 0.9) == -np.inf).all() and (reach(x, -x, 0.9) == -np.inf).all()
+    assert np.allclose(reach(x, x, 0.9), 0.9, atol=2e-5)
