@@ -33,7 +33,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, compress, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +67,17 @@ def bucket_of(word: bytes, buckets: int = BUCKETS) -> int:
     return zlib.crc32(word[-2:]) % buckets
 
 
+class Tails(dict):
+    """The buckets of last two bytes, each worked out once."""
+
+    def __init__(self, buckets: int):
+        self.buckets = buckets
+
+    def __missing__(self, tail: bytes) -> int:
+        self[tail] = found = bucket_of(tail, self.buckets)
+        return found
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, n) over all texts; counts are combined in each task first."""
 
@@ -103,17 +114,20 @@ class Vocabulary:
 
     def numbers(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
         """Of the tokens of some texts, one after the other: tokens in each text, known number (-1: not known), class, and the words that aren't known."""
-        words = [words_of(t) for t in texts]
-        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        known = np.full(size.sum(), self.end, np.int64)
-        inside = np.ones(len(known), bool)
-        inside[np.cumsum(size) - 1] = False
-        get = self.index.get
-        known[inside] = np.fromiter(map(get, chain.from_iterable(words), repeat(-1)), np.int64, len(known) - len(words))
-        classes = self.of[known]
-        rest = list(compress(chain.from_iterable(words), (known[inside] < 0).tolist()))
+        get, found, rest = self.index.get, [], []
+        # a text at a time, so that its words are looked up while they are in the cache
+        for t in texts:
+            words = words_of(t)
+            own = np.full(len(words) + 1, self.end, np.int64)
+            own[:-1] = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+            rest += [words[i] for i in np.flatnonzero(own < 0).tolist()]
+            found.append(own)
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        known = np.concatenate(found) if found else np.zeros(0, np.int64)
+        classes = self.of.take(known, mode="wrap")
         if rest:
-            classes[known < 0] = [self.head + 1 + bucket_of(w, self.buckets) for w in rest]
+            tails = Tails(self.buckets)
+            classes[known < 0] = np.array([tails[w[-2:]] for w in rest]) + self.head + 1
         return size, known, classes, rest
 
 
@@ -161,6 +175,7 @@ class Model:
         self.r, self.q, self.gq = vectors(n), vectors(n), vectors(self.groups)
         self.c = np.repeat((1 / np.arange(1, POSITIONS + 1, dtype=np.float32))[:, None], dimensions, axis=1)
         self.b, self.gb = np.log(share).astype(np.float32), np.log(self.group_share).astype(np.float32)
+        self.noise: dict = {}
         self.past = {k: np.full(len(getattr(self, k)), 0.1, np.float32) for k in ("r", "q", "b", "gq", "gb", "c")}
 
     def parameters(self) -> np.ndarray:
@@ -172,88 +187,117 @@ class Model:
         r, q, gq, c = np.split(table_.astype(np.float32), np.cumsum([len(self.r), len(self.q), len(self.gq)]))
         self.r, self.q, self.b, self.gq, self.gb, self.c = r[:, :-1].copy(), q[:, :-1].copy(), q[:, -1].copy(), gq[:, :-1].copy(), gq[:, -1].copy(), c[:, :-1].copy()
 
-    def predict(self, context: np.ndarray) -> np.ndarray:
-        return sum(self.r.take(context[:, k], axis=0) * self.c[k] for k in range(POSITIONS))
+    def vectors(self, context: np.ndarray) -> np.ndarray:
+        """Vectors of contexts, those of the positions side by side."""
+        return self.r.take(context.ravel(), axis=0).reshape(len(context), -1)
+
+    def weights(self) -> np.ndarray:
+        """What makes a prediction of such vectors: the diagonal matrices of the positions, one above the other."""
+        return np.concatenate([np.diag(c) for c in self.c])
 
     def log10(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Normalised log10 probabilities of targets after contexts."""
+        group = (target % self.groups).astype(np.uint16)
+        order = np.argsort(group, kind="stable")
+        cuts = np.searchsorted(group.take(order), np.arange(self.groups + 1))
+        group, inner = group.take(order), target.take(order) // self.groups
         out = np.empty(len(target))
         h = np.empty((len(target), self.r.shape[1] + 1), np.float32)
         # the last column stands for the biases
         h[:, -1] = 1
+        weights = self.weights()
         for k in range(0, len(target), ROWS):
-            h[k : k + ROWS, :-1] = self.predict(context[k : k + ROWS])
+            h[k : k + ROWS, :-1] = self.vectors(context.take(order[k : k + ROWS], axis=0)) @ weights
+        size = math.sqrt(np.einsum("ij,ij->i", h, h).max(initial=0))
 
-        def logs(rows: np.ndarray, q: np.ndarray, at: np.ndarray) -> np.ndarray:
+        def logs(rows: np.ndarray, q: np.ndarray, at: np.ndarray, close: bool) -> np.ndarray:
             s = rows @ q
-            top = s.max() - 40
             own = s[np.arange(len(s)), at].astype(np.float64)
-            s -= top
-            if s.min() < -40:
-                # far apart: each row by its own greatest score
-                s = s.astype(np.float64)
-                most = s.max(axis=1, keepdims=True)
-                return own - top - most[:, 0] - np.log(np.exp(s - most).sum(axis=1))
+            top = 0.0
+            if not close:
+                top = s.max() - 40
+                s -= top
+                if s.min() < -40:
+                    # far apart: each row by its own greatest score
+                    s = s.astype(np.float64)
+                    most = s.max(axis=1, keepdims=True)
+                    return own - top - most[:, 0] - np.log(np.exp(s - most).sum(axis=1))
             return own - top - np.log(np.exp(s, out=s) @ np.ones(s.shape[1], np.float32), dtype=np.float64)
 
-        group = (target % self.groups).astype(np.uint16)
-        q = np.ascontiguousarray(np.c_[self.gq, self.gb].T)
+        def table_of(q: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, bool]:
+            """Vectors with biases, and whether no product with them can leave what single precision can raise e to."""
+            q = np.ascontiguousarray(np.c_[q, b].T)
+            return q, size * math.sqrt((q * q).sum(axis=0).max()) < 60
+
+        q, close = table_of(self.gq, self.gb)
         for k in range(0, len(target), ROWS):
-            out[k : k + ROWS] = logs(h[k : k + ROWS], q, group[k : k + ROWS])
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(self.groups + 1))
+            out[k : k + ROWS] = logs(h[k : k + ROWS], q, group[k : k + ROWS], close)
         for g in range(self.groups):
-            q = np.ascontiguousarray(np.c_[self.q[g :: self.groups], self.b[g :: self.groups]].T)
+            q, close = table_of(self.q[g :: self.groups], self.b[g :: self.groups])
             for k in range(cuts[g], cuts[g + 1], ROWS):
-                rows = order[k : min(k + ROWS, cuts[g + 1])]
-                out[rows] += logs(h[rows], q, target[rows] // self.groups)
-        return out / math.log(10)
-
-    def _step(self, name: str, rows: np.ndarray, grad: np.ndarray, rate: float) -> None:
-        own, past = getattr(self, name), self.past[name]
-        order = np.argsort(rows.astype(np.uint16) if len(own) < 1 << 16 else rows, kind="stable")
-        rows = rows[order]
-        at = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-        total, rows = np.add.reduceat(grad.take(order, axis=0), at, axis=0), rows[at]
-        past[rows] += (total * total) @ np.full(total.shape[1], 1 / total.shape[1], np.float32) if total.ndim == 2 else total * total
-        scale = rate / np.sqrt(past[rows])
-        own[rows] += total * (scale[:, None] if total.ndim == 2 else scale)
+                e = min(k + ROWS, cuts[g + 1])
+                out[k:e] += logs(h[k:e], q, inner[k:e], close)
+        given = np.empty(len(target))
+        given[order] = out / math.log(10)
+        return given
+
+    def _step(self, rows: np.ndarray, grads: dict[str, tuple[np.ndarray, float]]) -> None:
+        """Add up the gradients of equal rows, for parameters of each name, and step there."""
+        order = np.argsort(rows.astype(np.uint16) if len(self.r) < 1 << 16 else rows, kind="stable")
+        rows = rows.take(order)
+        new = np.empty(len(rows), bool)
+        new[0] = True
+        np.not_equal(rows[1:], rows[:-1], out=new[1:])
+        at = np.flatnonzero(new)
+        rows = rows.take(at)
+        for name, (grad, rate) in grads.items():
+            own, past = getattr(self, name), self.past[name]
+            total = np.add.reduceat(grad.take(order, axis=0), at, axis=0)
+            sums = past.take(rows)
+            sums += np.einsum("ij,ij->i", total, total) * np.float32(1 / total.shape[1]) if total.ndim == 2 else total * total
+            past[rows] = sums
+            scale = rate / np.sqrt(sums, out=sums)
+            total *= scale[:, None] if total.ndim == 2 else scale
+            own[rows] = own.take(rows, axis=0) + total
+
+    def _noise(self, q: str, share: np.ndarray, noise: int) -> tuple[np.ndarray, np.ndarray]:
+        """Cumulative shares and the logarithm of each one's expected draws, made once."""
+        if (q, noise) not in self.noise:
+            self.noise[q, noise] = np.cumsum(share), np.log(share * noise).astype(np.float32)
+        return self.noise[q, noise]
 
     def _contrast(self, q: str, b: str, h: np.ndarray, target: np.ndarray, share: np.ndarray, noise: int, rng: np.random.Generator, rate: float) -> np.ndarray:
         """A step of noise-contrastive estimation on targets; the noise, drawn from share, serves the whole batch.  Gives the gradient of h."""
-        own, bias = getattr(self, q), getattr(self, b)
-        drawn = np.searchsorted(np.cumsum(share), rng.random(noise) * share.sum()).clip(0, len(share) - 1)
-        log_noise = np.log(share * noise).astype(np.float32)
-        w, x = own.take(target, axis=0), own[drawn]
-        true = 1 / (1 + np.exp(np.clip((h * w) @ np.ones(h.shape[1], np.float32) + bias[target] - log_noise[target], -30, 30)))
-        false = h @ x.T
-        false += bias[drawn] - log_noise[drawn]
-        np.clip(false, -30, 30, out=false)
-        np.exp(np.negative(false, out=false), out=false)
+        own, (summed, log_noise) = getattr(self, q), self._noise(q, share, noise)
+        drawn = np.searchsorted(summed, rng.random(noise) * summed[-1]).clip(0, len(share) - 1)
+        bias = getattr(self, b) - log_noise
+        w, x, n = own.take(target, axis=0), own[drawn], len(target)
+        true = np.einsum("ij,ij->i", h, w)
+        true += bias.take(target)
+        true = 1 / (1 + np.exp(np.clip(true, -30, 30, out=true), out=true))
+        both = np.empty((n + noise, h.shape[1]), np.float32)
+        np.multiply(true[:, None], h, out=both[:n])
+        grad = np.multiply(w, true[:, None], out=w)
+        # twice the logistic function, which is 1 + tanh of half its argument
+        false = h @ (x.T / 2)
+        false += bias[drawn] / 2
+        np.tanh(false, out=false)
         false += 1
-        np.reciprocal(false, out=false)
-        true, both = true.astype(np.float32)[:, None], np.empty((len(target) + noise, h.shape[1]), np.float32)
-        np.multiply(true, h, out=both[: len(target)])
-        both[len(target) :] = -(h.T @ false).T
-        grad = true * w
-        grad -= false @ x
-        targets = np.r_[target, drawn]
-        self._step(q, targets, both, rate)
-        self._step(b, targets, np.r_[true[:, 0], -(np.ones(len(target), np.float32) @ false)], rate / 4)
+        grad -= false @ (x / 2)
+        np.divide(h.T @ false, -2, out=both[n:].T)
+        of_bias = np.ones(n, np.float32) @ false / -2
+        self._step(np.concatenate([target, drawn]), {q: (both, rate), b: (np.concatenate([true, of_bias]), rate / 4)})
         return grad
 
     def train(self, context: np.ndarray, target: np.ndarray, rng: np.random.Generator, noise: tuple[int, int] = NOISE, rate: float = RATE) -> None:
-        vectors = [self.r.take(context[:, k], axis=0) for k in range(POSITIONS)]
-        h = sum(v * c for v, c in zip(vectors, self.c))
+        vectors, weights = self.vectors(context), self.weights()
+        h = vectors @ weights
         grad = self._contrast("q", "b", h, target, self.share, noise[0], rng, rate)
         grad += self._contrast("gq", "gb", h, target % self.groups, self.group_share, noise[1], rng, rate)
-        one = np.ones(len(target), np.float32)
-        by_position = np.stack([one @ (v * grad) for v in vectors])
-        each = np.empty((POSITIONS, *grad.shape), np.float32)
-        for k, c in enumerate(self.c):
-            np.multiply(grad, c, out=each[k])
-        self._step("r", context.T.ravel(), each.reshape(-1, grad.shape[1]), rate)
-        self._step("c", np.arange(POSITIONS), by_position, rate / 10)
+        # of the products of every two dimensions, those of a dimension with itself
+        by_position = np.diagonal((vectors.T @ grad).reshape(POSITIONS, grad.shape[1], -1), axis1=1, axis2=2)
+        self._step(context.ravel(), {"r": ((grad @ weights.T).reshape(-1, grad.shape[1]), rate)})
+        self._step(np.arange(POSITIONS), {"c": (by_position, rate / 10)})
 
 
 def train(docs: DataFrame, vocab: Vocabulary, dimensions: int = DIMENSIONS) -> Model:
@@ -275,7 +319,7 @@ def train(docs: DataFrame, vocab: Vocabulary, dimensions: int = DIMENSIONS) -> M
             order = rng.permutation(len(c))
             for k in range(0, len(c), BATCH):
                 some = order[k : k + BATCH]
-                model.train(c[some], t[some], rng)
+                model.train(c.take(some, axis=0), t.take(some), rng)
             seen += len(c)
             before, targets, held = [], [], 0
 

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -93,3 +94,64 @@ def test_odd_and_empty(spark, odd_dir, empty_dir):
     got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in op2_lm(spark, odd_dir).collect()), key=str)
     assert [r[:-1] for r in got] == [r[:-1] for r in brute(docs)] and np.allclose([r[-1] for r in got], [r[-1] for r in brute(docs)])
     assert op2_lm(spark, empty_dir).collect() == []
+
+
+def plain_vocabulary(words):
+    return lm.Vocabulary(words, [9] * len(words), 5, 9 * len(words) + 5, len(words) + 1, np.ones(lm.BUCKETS), np.ones(lm.BUCKETS), 4)
+
+
+def test_numbers_hold_the_words_of_one_text_at_a_time():
+    v = plain_vocabulary([b"w%d" % k for k in range(50)])
+    texts = [" ".join(f"w{(k * j) % 60}" for j in range(2000)).encode() for k in range(100)]
+    v.numbers(texts)
+    tracemalloc.start()
+    size, known, classes, rest = v.numbers(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    words = [[*words_of(t), None] for t in texts]
+    flat = [w for t in words for w in t]
+    assert size.tolist() == [len(t) for t in words] and rest == [w for w in flat if w is not None and w not in v.index]
+    assert known.tolist() == [v.end if w is None else v.index.get(w, -1) for w in flat]
+    assert classes.tolist() == [v.head if w is None else v.index[w] if v.index.get(w, 99) < v.head else v.head + 1 + bucket_of(w) for w in flat]
+    assert peak < 40 * len(flat)
+    assert [len(x) for x in v.numbers([])] == [0, 0, 0, 0] and v.numbers([b""])[1].tolist() == [v.end]
+
+
+@pytest.mark.parametrize("far", [1, 8])
+def test_a_training_step_and_scores_in_double_precision(far):
+    rng, share = np.random.default_rng(3), np.arange(1, 12) / 66
+    model = Model(share, 8)
+    for name in ("r", "q", "gq"):
+        setattr(model, name, (rng.standard_normal(getattr(model, name).shape) * far).astype(np.float32))
+    c, t = rng.integers(0, 11, (200, lm.POSITIONS)), rng.integers(0, 11, 200)
+    r, q, b, gq, gb, w = (getattr(model, k).astype(float) for k in ("r", "q", "b", "gq", "gb", "c"))
+    h = sum(r[c[:, k]] * w[k] for k in range(lm.POSITIONS))
+    s, g = h @ q.T + b, h @ gq.T + gb
+    log_sum = lambda x: x.max(axis=1) + np.log(np.exp(x - x.max(axis=1, keepdims=True)).sum(axis=1))
+    same = np.arange(11) % model.groups == (t % model.groups)[:, None]
+    want = s[np.arange(200), t] - log_sum(np.where(same, s, -np.inf)) + g[np.arange(200), t % model.groups] - log_sum(g)
+    assert np.allclose(model.log10(c, t), want / math.log(10), rtol=1e-4, atol=1e-3)
+    if far > 1:
+        return
+    again, grad = np.random.default_rng(4), np.zeros_like(h)
+    for own, bias, target, odds, noise in ((q, b, t, share, 7), (gq, gb, t % model.groups, model.group_share, 3)):
+        drawn = np.searchsorted(np.cumsum(odds), again.random(noise) * odds.sum())
+        logistic = lambda at: 1 / (1 + np.exp(-((h @ own.T + bias)[:, at] - np.log(odds[at] * noise))))  # noqa: B023, E731
+        true, false = 1 - logistic(target)[np.arange(200), np.arange(200)], logistic(drawn)
+        grad += true[:, None] * own[target] - false @ own[drawn]
+        of, of_bias = np.zeros_like(own), np.zeros_like(bias)
+        np.add.at(of, target, true[:, None] * h)
+        np.add.at(of, drawn, -false.T @ h)
+        np.add.at(of_bias, target, true)
+        np.add.at(of_bias, drawn, -false.sum(axis=0))
+        own += of * 0.15 / np.sqrt(0.1 + (of * of).mean(axis=1, keepdims=True))
+        bias += of_bias * 0.15 / 4 / np.sqrt(0.1 + of_bias * of_bias)
+    of, of_c = np.zeros_like(r), np.zeros_like(w)
+    for k in range(lm.POSITIONS):
+        np.add.at(of, c[:, k], grad * w[k])
+        of_c[k] = (r[c[:, k]] * grad).sum(axis=0)
+    r += of * 0.15 / np.sqrt(0.1 + (of * of).mean(axis=1, keepdims=True))
+    w += of_c * 0.015 / np.sqrt(0.1 + (of_c * of_c).mean(axis=1, keepdims=True))
+    model.train(c, t, np.random.default_rng(4), (7, 3), 0.15)
+    for name, x in (("r", r), ("q", q), ("b", b), ("gq", gq), ("gb", gb), ("c", w)):
+        assert np.allclose(getattr(model, name), x, rtol=1e-3, atol=1e-4), name
