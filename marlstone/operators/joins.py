@@ -54,6 +54,17 @@ def in_range(left: DataFrame, right: DataFrame, point: str, low: str, high: str,
     return l_.join(r_, [*on, "_bucket"]).where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("_bucket")
 
 
+def totals_in_range(left: DataFrame, right: DataFrame, point: str, low: str, high: str, width: float, value: str) -> DataFrame:
+    """Right rows with a point in their range, with the count `n` of such left rows and the sum `total` of their values.
+
+    Equal points are added up first and equal ranges looked up once, so work grows with the
+    pairs of distinct points and distinct ranges around them, not with the pairs of rows.
+    """
+    points = left.groupBy(point).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+    found = in_range(points, right.select(low, high).distinct(), point, low, high, width).groupBy(low, high).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return right.join(found, [low, high])
+
+
 def salted(left: DataFrame, right: DataFrame, on: Sequence[str], salts: int, how: str = "inner") -> DataFrame:
     """A join whose left side has hot keys: left rows are dealt over salts, right rows repeated for each."""
     if how not in ("inner", "left", "left_semi", "left_anti"):

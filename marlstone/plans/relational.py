@@ -108,8 +108,9 @@ query(
     "join_range",
     "SELECT p_partkey, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events JOIN (SELECT p_partkey, CAST(p_size AS DOUBLE) AS low, p_size + 0.05 AS high FROM part) r ON value >= low AND value < high GROUP BY p_partkey",
 )(
-    lambda s, d: joins.in_range(table(s, d, "events"), table(s, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("low"), F.expr("p_size + 0.05D").alias("high")), "value", "low", "high", 1.0)
-    .groupBy("p_partkey").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+    # ranges start at whole numbers and are shorter than 1, so a point lies in one distinct range at most
+    lambda s, d: joins.totals_in_range(table(s, d, "events"), table(s, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("low"), F.expr("p_size + 0.05D").alias("high")), "value", "low", "high", 1.0, "event_id")
+    .groupBy("p_partkey").agg(F.sum("n").alias("n"), F.sum("total").alias("ids"))
 )
 
 # ---- set operations -----------------------------------------------------------------------------
