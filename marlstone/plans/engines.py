@@ -24,24 +24,26 @@ def done(spark: SparkSession, df: DataFrame, name: str, mode: str = "append") ->
     return streams.finished(df, shared(spark, f"{name}-checkpoint"), shared(spark, name), mode)
 
 
-def in_memory(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Complete mode into the memory sink; only for a result known to be small."""
-    streams.write(df, shared(spark, f"{name}-checkpoint"), "memory", name=name, mode="complete").awaitTermination()
-    return spark.table(name)
+def in_whole(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Complete mode: each batch's whole result replaces the one before in files, so none passes through the driver."""
+    target = shared(spark, name)
+    each = lambda batch, k: batch.write.mode("overwrite").parquet(target)
+    streams.write(df, shared(spark, f"{name}-checkpoint"), mode="complete", each=each).awaitTermination()
+    return spark.read.schema(df.schema).parquet(target)
 
 
 query("stream_file_append", "SELECT event_id, user_id, value FROM events WHERE event_type = 'click'")(lambda s, d: done(s, event_stream(s, d).where("event_type = 'click'").select("event_id", "user_id", "value"), "append"))
 query("stream_tumbling_complete", "SELECT CAST(time_bucket(INTERVAL 1 DAY, ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")(
-    lambda s, d: in_memory(s, streams.windowed_counts(event_stream(s, d), "ts", "1 day", keys=["event_type"]), "marlstone_tumbling").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    lambda s, d: in_whole(s, streams.windowed_counts(event_stream(s, d), "ts", "1 day", keys=["event_type"]), "tumbling").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 )
 query("stream_sliding_complete", "SELECT CAST(b AS TIMESTAMP) AS start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 12 HOUR, ts), time_bucket(INTERVAL 12 HOUR, ts) - INTERVAL 12 HOUR]) AS b FROM events) t GROUP BY 1")(
-    lambda s, d: in_memory(s, streams.windowed_counts(event_stream(s, d), "ts", "1 day", "12 hours"), "marlstone_sliding").select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
+    lambda s, d: in_whole(s, streams.windowed_counts(event_stream(s, d), "ts", "1 day", "12 hours"), "sliding").select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
 )
 query(
     "stream_session_complete",
     """SELECT user_id, count(*) AS n, CAST(min(ts) AS TIMESTAMP) AS start FROM (SELECT *, sum(g) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (
     SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS g FROM events) t) u GROUP BY user_id, s""",
-)(lambda s, d: in_memory(s, streams.session_counts(event_stream(s, d), "ts", "6 hours", ["user_id"]), "marlstone_session").select("user_id", "n", F.col("start").cast("timestamp_ntz").alias("start")))
+)(lambda s, d: in_whole(s, streams.session_counts(event_stream(s, d), "ts", "6 hours", ["user_id"]), "session").select("user_id", "n", F.col("start").cast("timestamp_ntz").alias("start")))
 query("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")(lambda s, d: done(s, streams.deduplicated(event_stream(s, d, "60 days").select("user_id", "event_type", "ts"), ["user_id", "event_type"]).select("user_id", "event_type"), "dedup"))
 query("stream_static_join", "SELECT event_id, c_mktsegment FROM events JOIN customer ON user_id = c_custkey")(lambda s, d: done(s, event_stream(s, d).join(table(s, d, "customer"), F.expr("user_id = c_custkey")).select("event_id", "c_mktsegment"), "static"))
 query(

@@ -1,9 +1,12 @@
 """Work and memory of queries that failed on larger tables: they follow the input, at the results of plain Python."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from marlstone.operators import joins
+from marlstone.plans import engines
 from marlstone.plans.registry import QUERIES, load
+from marlstone.streaming import pipeline as streams
 
 load()
 
@@ -38,3 +41,16 @@ def test_totals_in_range_equal_nested_loop(spark):
     brute = points.join(ranges, F.expr("p >= lo AND p < hi")).groupBy("k", "lo", "hi").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
     found = joins.totals_in_range(points, ranges, "p", "lo", "hi", 1.0, "v").select(*brute.columns)
     assert sorted(found.collect(), key=str) == sorted(brute.collect(), key=str) and found.count() == 5
+
+
+@pytest.mark.parametrize("name", ["stream_tumbling_complete", "stream_sliding_complete", "stream_session_complete"])
+def test_complete_results_stay_out_of_the_driver(spark, sf_dir, name):
+    assert QUERIES[name](spark, sf_dir).inputFiles()
+
+
+def test_complete_result_is_that_of_the_last_batch(spark, tmp_path):
+    for k, (user, time) in enumerate([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 05:00:00"), (2, "2024-01-01 07:00:00"), (1, "2024-01-01 12:00:00")]):
+        spark.createDataFrame([(user, time)], "u int, t string").select("u", F.col("t").cast("timestamp_ntz").alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    read = streams.timed(streams.read_files(spark, f"{tmp_path}/in/*", "u int, ts timestamp_ntz", per_trigger=1), "ts", "1 day")
+    found = engines.in_whole(spark, streams.session_counts(read, "ts", "6 hours", ["u"]), "batches").select("u", "n", F.hour("start"))
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 12), (1, 2, 0), (2, 1, 7)]
