@@ -1,9 +1,12 @@
 """Work and memory of queries that failed on larger tables: they follow the input, at the results of plain Python."""
 
+import random
+from collections import defaultdict
+
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import joins
+from marlstone.operators import joins, windows
 from marlstone.plans import engines
 from marlstone.plans.registry import QUERIES, load
 from marlstone.streaming import pipeline as streams
@@ -54,3 +57,35 @@ def test_complete_result_is_that_of_the_last_batch(spark, tmp_path):
     read = streams.timed(streams.read_files(spark, f"{tmp_path}/in/*", "u int, ts timestamp_ntz", per_trigger=1), "ts", "1 day")
     found = engines.in_whole(spark, streams.session_counts(read, "ts", "6 hours", ["u"]), "batches").select("u", "n", F.hour("start"))
     assert sorted(map(tuple, found.collect())) == [(1, 1, 12), (1, 2, 0), (2, 1, 7)]
+
+
+def test_islands_hold_no_table_of_rows(spark, sf_dir):
+    df = QUERIES["window_islands"](spark, sf_dir)
+    df.collect()
+    kinds = [n.getClass().getSimpleName() for n in executed(df)]
+    assert "WindowExec" in kinds and "SortExec" in kinds and not any("Aggregate" in k for k in kinds)
+    assert kinds.count("ShuffleExchangeExec") == kinds.count("SortExec") == 1
+
+
+def test_large_islands_are_dealt_by_their_size(spark, sf_dir, monkeypatch):
+    whole = sorted(map(tuple, QUERIES["window_islands"](spark, sf_dir).collect()))
+    monkeypatch.setattr(windows, "TASK_BYTES", 1 << 10)
+    df = QUERIES["window_islands"](spark, sf_dir)
+    assert sorted(map(tuple, df.collect())) == whole
+    assert df.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+
+
+def test_islands_equal_plain_python(spark):
+    draw = random.Random(5)
+    rows = [(draw.choice([1, 2, 3, None]), draw.choice([*range(-9, 30), None])) for _ in range(90)] + [(4, None), (4, None), (5, 7), (5, 7), (5, 8), (6, 2**63 - 1), (6, 2**63 - 1)]
+    want, numbers = [], defaultdict(set)
+    for k, x in rows:
+        numbers[k].add(x)
+    for k, xs in numbers.items():
+        want += [(k, None, None, 1)] * (None in xs)
+        for x in sorted(xs - {None}):
+            if x - 1 not in xs:
+                last = next(y for y in range(x, 2**63) if y + 1 not in xs)
+                want.append((k, x, last, last - x + 1))
+    found = windows.islands(spark.createDataFrame(rows, "k int, x long"), ["k"], "x")
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
